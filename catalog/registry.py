@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluate, graph, search
+from . import evaluate, graph, ingest, search
 
-MODULES = [search, evaluate, graph]
+MODULES = [search, evaluate, graph, ingest]
 
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

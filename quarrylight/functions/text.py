@@ -152,19 +152,26 @@ def noise_ratio(text: Column) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise((n - F.length(clean)) / n)
 
 
-def is_formula(line: Column) -> Column:
-    """Equation-like line: a relation, and either symbol density or an equation number."""
+def formula_signs(line: Column) -> Column:
+    """Struct ``(numbered, related, dense)``: the three signs of an equation line."""
     s = F.trim(F.regexp_replace(F.coalesce(line, F.lit("")), r"^(?U)\s+|(?U)\s+$", ""))
     solid = F.regexp_replace(s, r"(?U)\s", "")
     symbols = F.length(solid) - F.length(F.regexp_replace(solid, f"[{fixed.MATH_CLASS}]", ""))
-    dense = symbols / F.greatest(F.length(solid), F.lit(1)) >= fixed.FORMULA_DENSITY
-    numbered = s.rlike(fixed.EQUATION_NUMBER_PATTERN)
-    related = s.rlike(fixed.RELATION_PATTERN)
-    return (F.length(s) >= fixed.FORMULA_MIN_CHARS) & (
-        (numbered & (related | dense)) | (dense & related)
+    return F.struct(
+        s.rlike(fixed.EQUATION_NUMBER_PATTERN).alias("numbered"),
+        s.rlike(fixed.RELATION_PATTERN).alias("related"),
+        (symbols / F.greatest(F.length(solid), F.lit(1)) >= fixed.FORMULA_DENSITY).alias("dense"),
     )
 
 
+def is_formula(line: Column) -> Column:
+    """Equation-like line: at least two of equation number, relation and symbol density."""
+    long_enough = F.length(F.trim(F.coalesce(line, F.lit("")))) >= fixed.FORMULA_MIN_CHARS
+    signs = formula_signs(line)
+    numbered, related, dense = signs["numbered"], signs["related"], signs["dense"]
+    return long_enough & ((numbered & (related | dense)) | (dense & related))
+
+
 def has_scanner_signature(producer: Column, creator: Column) -> Column:
     blob = F.lower(
         F.concat_ws(" ", F.coalesce(producer, F.lit("")), F.coalesce(creator, F.lit("")))

@@ -250,7 +250,7 @@ def formula_lines(spark, folder):
 TRAITS = """
 tr AS (SELECT 'o' || l_orderkey AS doc_id, (row_number() OVER (PARTITION BY l_orderkey
                 ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity))::INTEGER AS page, count(*) OVER (PARTITION BY l_orderkey) AS n_pages,
-              round(l_discount * 10, 4) AS coverage, (l_quantity * 8)::INTEGER AS n_chars, l_tax AS noise,
+              round(l_discount * 10, 4) AS coverage, (l_quantity * 8)::INTEGER AS n_chars, l_tax * 0.73131 AS noise,
               (l_linenumber % 3)::INTEGER AS n_fonts, CASE WHEN l_returnflag = 'A' THEN 2 ELSE 1 END AS col_guess FROM lineitem),
 lab AS (SELECT *, CASE WHEN NOT (coverage >= 0.80 OR (coverage >= 0.55 AND n_fonts <= 1)) THEN 'native'
                        WHEN n_chars >= 200 AND noise < 0.06 THEN 'scan-ocr' ELSE 'scan-image' END AS label FROM tr)"""
@@ -274,7 +274,7 @@ def line_traits(spark, folder):
         F.count("*").over(W.partitionBy("l_orderkey")).cast("int").alias("n_pages"),
         F.round(F.col("l_discount") * 10, 4).alias("coverage"),
         (F.col("l_quantity") * 8).cast("int").alias("n_chars"),
-        F.col("l_tax").alias("noise"),
+        (F.col("l_tax") * 0.73131).alias("noise"),
         (F.col("l_linenumber") % 3).cast("int").alias("n_fonts"),
         F.when(F.col("l_returnflag") == "A", 2).otherwise(1).alias("col_guess"),
     )

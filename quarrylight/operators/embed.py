@@ -75,8 +75,13 @@ def get_embedder(name: str = DEFAULT_MODEL):
     return _FACTORIES[name]() if name in _FACTORIES else _fastembed(name)
 
 
-def embed(df: DataFrame, text: str, model: str = DEFAULT_MODEL, out: str = "vector") -> DataFrame:
-    """Add the vector of ``text``. Map-only; the model is loaded once per worker."""
+def embed(
+    df: DataFrame, text: str, model: str = DEFAULT_MODEL, out: str = "vector", unit: bool = False
+) -> DataFrame:
+    """Add the vector of ``text``. Map-only; the model is loaded once per worker.
+
+    With ``unit`` vectors are scaled to length one; zero vectors stay.
+    """
     factory = _FACTORIES.get(model)
 
     @F.pandas_udf("array<float>")
@@ -86,6 +91,11 @@ def embed(df: DataFrame, text: str, model: str = DEFAULT_MODEL, out: str = "vect
         engine = get_embedder(model)
         for texts in batches:
             values = [t or "" for t in texts]
-            yield pd.Series(list(engine.encode(values)) if values else [])
+            vectors = np.asarray(engine.encode(values) if values else [], dtype=np.float32)
+            if unit and len(values):
+                size = np.linalg.norm(vectors, axis=1, keepdims=True)
+                size[size == 0] = 1.0
+                vectors = vectors / size
+            yield pd.Series(list(vectors))
 
     return df.withColumn(out, encode(F.col(text)))

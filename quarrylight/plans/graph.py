@@ -20,7 +20,6 @@ from ..operators.embed import embed
 from ..operators.expansion import (
     accumulate, expand, fuse, rank_communities, rank_incidence, select_seeds,
 )
-from ..functions.vectors import unit
 from ..recipe import GraphSettings, SearchSettings
 from ..session import broadcast_within, cut_lineage, spill
 from ..sources.products import path_exists
@@ -81,9 +80,7 @@ def build_graph(chunks: DataFrame, path: str, settings: GraphSettings | None = N
         "concept", F.col("number").alias("community")
     )
     nodes = nodes_of(edges).join(kept, "concept").join(named, "concept")
-    embed(nodes, "concept", g.embedder_model).withColumn("vector", unit(F.col("vector"))).write.mode(
-        "overwrite"
-    ).parquet(f"{path}/concepts")
+    embed(nodes, "concept", g.embedder_model, unit=True).write.mode("overwrite").parquet(f"{path}/concepts")
     concepts = graph.table("concepts")
     rank_incidence(
         incidence.join(broadcast_within(concepts.select("concept"), g.max_concepts), "concept", "left_semi")
@@ -141,8 +138,7 @@ def graph_search(
         warnings.warn("the graph was embedded with another model; similarities may be meaningless")
     concepts, incidence = graph.table("concepts"), graph.table("concept_chunks")
     queries = cut_lineage(
-        embed(batch.frame, "question", g.embedder_model)
-        .withColumn("vector", unit(F.col("vector"))).select("query_id", "vector")
+        embed(batch.frame, "question", g.embedder_model, unit=True).select("query_id", "vector")
     )
     seeds = cut_lineage(
         select_seeds(concepts, queries, g.seed_sim_min, g.seed_z, g.seed_top_n, g.seed_concepts)

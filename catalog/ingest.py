@@ -206,7 +206,7 @@ SELECT doc_id, round(CASE WHEN n = 0 THEN 0 ELSE bad / n::DOUBLE END, 6) AS nois
          length(s) - length(regexp_replace(s, '[\x00-\x1F\x7F-\x9F\x{FFFD}\x{E000}-\x{F8FF}\x{FB00}-\x{FB04}]', '', 'g')) AS bad
   FROM (SELECT doc_id, regexp_replace(text, '[\s\x0B\x1C-\x1F\x85\p{Z}]', '', 'g') AS s FROM documents))""")
 def noise_query(spark, folder):
-    return read(spark, folder, "documents").select(
+    return spread(read(spark, folder, "documents").select("doc_id", "text")).select(
         "doc_id", F.round(tx.noise_ratio(F.col("text")), 6).alias("noise")
     )
 

@@ -11,6 +11,7 @@ from quarrylight.operators.dense import dense_topk
 from quarrylight.operators.embed import embed
 from quarrylight.plans.search import hits, hybrid_search, plan_widths, sparse_arm
 from quarrylight.recipe import SearchSettings
+from quarrylight.session import spread
 from quarrylight.sources import corpus
 
 from . import sqltext as S
@@ -71,7 +72,7 @@ def chunk_contract(spark, folder):
     S.tf("documents", "doc_id", "text", "dtf"), S.keywords("dtf", "doc_id", "kw"),
     select="SELECT doc_id, kw_rank::INTEGER AS kw_rank, term FROM kw WHERE kw_rank <= 5"))
 def keywords_top5(spark, folder):
-    docs = tx.with_keywords(read(spark, folder, "documents").select("doc_id", "text"), "text", 5)
+    docs = tx.with_keywords(spread(read(spark, folder, "documents").select("doc_id", "text")), "text", 5)
     return (
         docs.select("doc_id", F.posexplode_outer("keywords").alias("pos", "term"))
         .filter(F.col("term").isNotNull())

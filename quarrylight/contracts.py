@@ -162,13 +162,15 @@ def audit_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def enforce_chunks(chunks: DataFrame) -> DataFrame:
-    """Fail the running job on the first invalid row."""
+    """Fail the running job on the first invalid row.
+
+    The check is a filter that keeps every valid row, so it also runs for a count
+    or any other narrow read.
+    """
     reason = chunk_violation()
-    checked = F.when(
-        reason.isNotNull(),
-        F.raise_error(
-            F.concat(F.lit("chunk contract: "), reason, F.lit(" in "),
-                     F.coalesce(F.col("chunk_id"), F.lit("?")))
-        ).cast("string"),
-    ).otherwise(F.col("kind"))
-    return chunks.withColumn("kind", checked)
+    message = F.concat(
+        F.lit("chunk contract: "), reason, F.lit(" in "), F.coalesce(F.col("chunk_id"), F.lit("?"))
+    )
+    return chunks.filter(
+        F.when(reason.isNotNull(), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    )

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .sparse import top_by_query
 
 MAX_BATCH = 4096
@@ -73,6 +74,7 @@ def dense_topk(
     max_batch: int = MAX_BATCH,
 ) -> DataFrame:
     """Rows ``(query_id, rank, item, score)`` with the ``k`` best items per query."""
+    ship_package(vectors.sparkSession)
     batch = queries.select("query_id", "vector").limit(max_batch + 1).toArrow()
     if batch.num_rows <= max_batch:
         partial = _by_batch(vectors, batch, k, item)
@@ -156,6 +158,7 @@ def dense_moments(vectors: DataFrame, queries: DataFrame, max_batch: int = MAX_B
 
     Each task gives one row of count, sum and sum of squares per query.
     """
+    ship_package(vectors.sparkSession)
     batch = queries.select("query_id", "vector").limit(max_batch + 1).toArrow()
     if batch.num_rows > max_batch:
         raise ValueError(f"more than {max_batch} queries; split the batch")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..session import ship_package
 
 DEFAULT_MODEL = "hashed-384"
 _WORD = re.compile(fixed.WORD_PATTERN)
@@ -82,6 +83,7 @@ def embed(
 
     With ``unit`` vectors are scaled to length one; zero vectors stay.
     """
+    ship_package(df.sparkSession)
     factory = _FACTORIES.get(model)
 
     @F.pandas_udf("array<float>")

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import fixed
 from ..functions.text import word_tokens
-from ..session import broadcast_within
+from ..session import broadcast_within, ship_package
 
 _SCORERS: dict[str, Callable[[list[tuple[str, str]]], list[float]]] = {}
 
@@ -39,6 +39,7 @@ def rerank_hits(
     scorer = _SCORERS.get(model)
     if scorer is None and model != "token-overlap" and _cross_encoder(model) is None:
         return ranked
+    ship_package(chunks.sparkSession)
     pairs = chunks.select("chunk_id", "text").join(
         broadcast_within(ranked, bound), "chunk_id"
     ).join(queries.select("query_id", "question"), "query_id")

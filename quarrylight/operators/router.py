@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import lexical_scope
+from ..session import ship_package
 from .embed import DEFAULT_MODEL, get_embedder
 
 
@@ -21,6 +22,7 @@ def exemplar_similarity(
 
     The exemplars are a fixed handful of vectors and travel with the function.
     """
+    ship_package(df.sparkSession)
     sides = {"local_sim": _unit(local), "global_sim": _unit(glob)}
 
     @F.pandas_udf("local_sim double, global_sim double")

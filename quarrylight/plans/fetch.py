@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import FetchBlocked
 from ..functions.text import doi_slug, normalize_doi
-from ..session import spill
+from ..session import ship_package, spill
 from ..sources.responses import API_URLS, RESOLVERS, file_suffix
 
 DEFAULT_CONTACT = "quarrylight@example.org"
@@ -58,6 +58,7 @@ def _request(rows: DataFrame, url_of: Callable[[dict], str], accept: str, contac
                 error=[a[3] for a in answers],
             )
 
+    ship_package(rows.sparkSession)
     schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
     return rows.mapInPandas(
         call, f"{schema}, status int, content_type string, content binary, error string"

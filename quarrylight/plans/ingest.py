@@ -13,6 +13,7 @@ from ..contracts import FIGURES, FORMULAS, SECTIONS, TABLES, validate_intermedia
 from ..operators.artifacts import extract_formulas
 from ..operators.chunking import document_chunks, document_meta
 from ..operators.sections import markdown, mark_headings, mark_typed_headings, sections
+from ..session import ship_package, spill
 
 
 def _gather(df: DataFrame, name: str, kind, order: str, fields: list[str]) -> DataFrame:
@@ -154,7 +155,6 @@ def write_product(intermediate: DataFrame, outputs: str) -> DataFrame:
                 }
             )
 
+    ship_package(files.sparkSession)
     written = files.mapInPandas(write, "doc_id string, path string, n_chunks int, status string")
-    from ..session import spill
-
     return spill(written, "written")

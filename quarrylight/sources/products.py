@@ -68,13 +68,11 @@ def scan_chunks_strict(spark: SparkSession, outputs: str) -> DataFrame:
         .json(pattern)
         .withColumn("_file", F.col("_metadata.file_path"))
     )
-    bad = raw.filter(F.col("_bad").isNotNull() & (F.trim("_bad") != "")).select("_file", "_bad").take(1)
+    # Reading all columns keeps the corrupt-record column valid in the scan.
+    bad = raw.filter(F.col("_bad").isNotNull() & (F.trim("_bad") != "")).take(1)
     if bad:
         where, line = bad[0]["_file"], bad[0]["_bad"]
-        lines = spark.read.text(where).filter(F.col("value") == line)
-        at = lines.select(F.monotonically_increasing_id()).take(1)
-        number = _line_number(spark, where, line) if at else "?"
-        raise ValueError(f"{where}:{number}: invalid JSON")
+        raise ValueError(f"{where}:{_line_number(spark, where, line)}: invalid JSON")
     checked = enforce_chunks(raw.filter(F.col("_bad").isNull()))
     return checked.select(
         *[

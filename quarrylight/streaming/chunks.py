@@ -41,4 +41,4 @@ def land_chunks(chunks: DataFrame, table: str, checkpoint: str) -> StreamingQuer
 
 def landed_chunks(spark: SparkSession, table: str) -> DataFrame:
     """Valid chunks landed so far."""
-    return spark.read.parquet(table).filter("valid").select(*CHUNK.fieldNames())
+    return spark.read.parquet(table).filter("violation IS NULL").select(*CHUNK.fieldNames())

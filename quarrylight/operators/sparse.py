@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.text import word_tokens
 from ..functions import fixed
-from ..session import broadcast_within
+from ..session import BROADCAST_ROWS, bounded_count, broadcast_within, spill
 
 K1 = 1.2
 B = 0.75
@@ -23,20 +23,24 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def bm25_scores(
-    terms: DataFrame, postings: DataFrame, term_stats: DataFrame,
-    n_chunks: int, avg_len: float, bound: int | None = None,
+    terms: DataFrame, postings: DataFrame, term_stats: DataFrame, n_chunks: int, avg_len: float
 ) -> DataFrame:
     """Rows ``(query_id, chunk_id, score)`` for every chunk that shares a term.
 
-    The term join is the only wide step over postings. It is a broadcast join when
-    the query terms are within a proven bound, else a shuffle join that AQE may
-    split by skewed term. Scores are pre-added per task before the shuffle.
+    The weighted query terms are written and counted first. Within the broadcast
+    limit they go to the postings, which then do not move; beyond it the join
+    shuffles and AQE may split a skewed term. Scores are pre-added per task before
+    the shuffle by chunk.
     """
-    weighted = terms.join(term_stats, "term").select(
-        "query_id",
-        "term",
-        F.log(F.lit(1.0) + (F.lit(float(n_chunks)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),
+    weighted = spill(
+        terms.join(term_stats, "term").select(
+            "query_id",
+            "term",
+            F.log(F.lit(1.0) + (F.lit(float(n_chunks)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),
+        ),
+        "query_terms",
     )
+    bound = bounded_count(weighted, BROADCAST_ROWS)
     tf = F.col("tf").cast("double")
     saturation = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(float(avg_len))))
     return (

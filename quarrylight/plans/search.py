@@ -19,8 +19,6 @@ from ..session import broadcast_within, spill
 from .index import CorpusIndex
 
 OVERFETCH = 4
-# A question is one row; a term bound for broadcasts assumes at most this many words.
-_TERMS_PER_QUERY = 4096
 
 
 @dataclass(frozen=True)
@@ -94,7 +92,6 @@ def sparse_arm(index: CorpusIndex, batch: QueryBatch, top: int) -> DataFrame:
         index.table("term_stats"),
         index.stats["n_chunks"],
         index.stats["n_tokens"] / index.stats["n_chunks"],
-        bound=batch.rows * 64 if batch.rows <= 1000 else None,
     )
     return top_by_query(scores, top).select("query_id", "rank", "chunk_id", "score")
 

@@ -4,18 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrylight.plans.evaluation import EvalRun
+from quarrylight.plans.graph import ConceptGraph
 from quarrylight.plans.index import CorpusIndex, build_index
 from quarrylight.plans.search import QueryBatch
 from quarrylight.session import scratch_path, spread
 from quarrylight.sources import corpus
+from quarrylight.sources.products import path_exists
 
 _BUILT: dict[tuple[str, str, str], object] = {}
 
 
+def _stored(spark: SparkSession, value) -> bool:
+    """Whether the files behind a kept value are still in the shared folder."""
+    if isinstance(value, tuple):
+        return all(_stored(spark, v) for v in value)
+    if isinstance(value, DataFrame):
+        files = value.inputFiles()
+        return not files or path_exists(spark, files[0])
+    if isinstance(value, QueryBatch):
+        return _stored(spark, value.frame)
+    if isinstance(value, EvalRun):
+        return _stored(spark, value.per_probe)
+    if isinstance(value, ConceptGraph):
+        return path_exists(spark, f"{value.path}/meta/_SUCCESS")
+    return path_exists(spark, f"{value.path}/stats/_SUCCESS")
+
+
 def once(spark: SparkSession, folder: str, name: str, make):
-    """Value of ``make()`` for this session and folder, computed on first use."""
+    """Value of ``make()`` for this session and folder, computed on first use.
+
+    A value whose files are gone from the shared folder is computed anew.
+    """
     key = (spark.sparkContext.applicationId, folder, name)
-    if key not in _BUILT:
+    if key not in _BUILT or not _stored(spark, _BUILT[key]):
         _BUILT[key] = make()
     return _BUILT[key]
 

@@ -116,7 +116,7 @@ def _by_batch(vectors: DataFrame, batch: pa.Table, k: int, item: str) -> DataFra
 def _by_blocks(vectors: DataFrame, queries: DataFrame, k: int, item: str) -> DataFrame:
     """Block join: every pair of blocks meets in exactly one group of bounded size."""
     n_vector = max(1, math.ceil(vectors.count() / BLOCK_ROWS))
-    n_query = max(1, math.ceil(queries.count() / (BLOCK_ROWS // 4)))
+    n_query = max(1, math.ceil(queries.count() / BLOCK_ROWS))
 
     def block(col: str, n: int) -> F.Column:
         return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")

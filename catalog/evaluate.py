@@ -396,23 +396,21 @@ def external_scores(spark, folder):
         F.split("text", "\n")[0].alias("opening"),
         F.when(F.col("text").contains("\n"), "global").otherwise("local").alias("scope"),
     )
-    probes = spill(
-        bench.join(covering_chunks(ix, bench), "id").select("id", "question", "scope", "gold_chunk_ids"),
-        "gold",
-    )
-    return M.probe_scores(probes, X.ids_found(ix, probes, 10))
+    gold = spill(covering_chunks(ix, bench), "gold")
+    asked = spill(bench.join(gold.select("id").distinct(), "id", "left_semi"), "asked")
+    scores = M.gold_scores(gold, X.ids_found(ix, asked, 10))
+    return asked.select("id", "scope").join(scores, "id")
 
 
 def covering_chunks(ix, bench):
-    """``(id, gold_chunk_ids)`` for openings of three or more content words."""
+    """``(id, chunk_id)`` for openings of three or more content words."""
     terms = query_terms(bench.select(F.col("id").alias("query_id"), F.col("opening").alias("question")))
     sizes = terms.groupBy("query_id").agg(F.count("*").alias("words")).filter(F.col("words") >= 3)
     return (
-        terms.join(ix.table("postings").select("term", "chunk_id"), "term")
+        terms.join(sizes, "query_id")
+        .join(ix.table("postings").select("term", "chunk_id"), "term")
         .groupBy("query_id", "chunk_id")
-        .agg(F.count("*").alias("shared"))
-        .join(sizes, "query_id")
+        .agg(F.count("*").alias("shared"), F.max("words").alias("words"))
         .filter(F.col("shared") == F.col("words"))
-        .groupBy(F.col("query_id").alias("id"))
-        .agg(F.sort_array(F.collect_set("chunk_id")).alias("gold_chunk_ids"))
+        .select(F.col("query_id").alias("id"), "chunk_id")
     )

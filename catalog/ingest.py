@@ -417,22 +417,12 @@ def artifact_ids(spark, folder):
 
 
 @query("table_text", """
-SELECT c_custkey, trim(concat_ws(chr(10), nullif(caption, ''), string_agg(nullif(row_, ''), chr(10) ORDER BY o_orderkey))) AS text FROM (
-  SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END AS caption, o_orderkey,
-         concat_ws(' | ', o_orderkey::VARCHAR, nullif(CASE WHEN o_orderstatus = 'O' THEN '' ELSE o_orderstatus END, ''), o_orderpriority) AS row_
-  FROM customer JOIN orders ON c_custkey = o_custkey) GROUP BY c_custkey, caption""")
+SELECT doc_id, trim(concat_ws(chr(10), nullif(caption, ''), nullif(array_to_string(list_filter(list_transform(string_split(text, chr(10)),
+         lambda l: array_to_string(list_filter(string_split(l, ' '), lambda c: c <> ''), ' | ')), lambda r: r <> ''), chr(10)), ''))) AS text
+FROM (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS caption FROM documents)""")
 def table_text(spark, folder):
-    cells = read(spark, folder, "orders").select(
-        "o_custkey", "o_orderkey",
-        F.array(
-            F.col("o_orderkey").cast("string"),
-            F.when(F.col("o_orderstatus") == "O", "").otherwise(F.col("o_orderstatus")), "o_orderpriority",
-        ).alias("row"),
-    )
-    grids = cells.groupBy("o_custkey").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "row"))), lambda r: r["row"]).alias("cells")
-    )
-    return grids.join(read(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(
-        "c_custkey",
-        tx.table_text(F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_name")), F.col("cells")).alias("text"),
-    )
+    """A document's lines as table rows, its words as cells."""
+    docs = spread(read(spark, folder, "documents").select("doc_id", "lang", "text"))
+    cells = F.transform(F.split("text", "\n"), lambda line: F.split(line, " "))
+    caption = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("lang"))
+    return docs.select("doc_id", tx.table_text(caption, cells).alias("text"))

@@ -78,7 +78,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name under the shared folder for a written table."""
-    return f"{shared_dir(spark).rstrip('/')}/quarrylight/{name}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    return f"{shared_dir(spark).rstrip('/')}/quarrylight/{app}/{name}-{uuid.uuid4().hex}"
 
 
 def spill(df: DataFrame, name: str) -> DataFrame:

@@ -29,4 +29,51 @@ SELECT doc_id, size::BIGINT AS size, source_size, target, (size * copies)::BIGIN
 FROM u JOIN best ON u.source IS NOT DISTINCT FROM best.source AND u.draw = best.draw
 """
 
-ORACLES = {"op8_mix_sources": OP8}
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    " '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+_SHINGLES = f"""CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+                     WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END"""
+
+OP1 = f"""
+WITH d AS (SELECT DISTINCT doc_id, unnest({_SHINGLES}) AS s FROM (SELECT doc_id, {_WORDS} AS ws FROM documents)),
+b AS (SELECT DISTINCT item_id, unnest({_SHINGLES}) AS s FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark)),
+n AS (SELECT item_id, count(*) AS item_shingles FROM b GROUP BY 1)
+SELECT doc_id, item_id, count(*)::BIGINT AS shared, item_shingles::BIGINT AS item_shingles,
+       count(*)::DOUBLE / item_shingles AS containment
+FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, item_shingles
+HAVING count(*)::DOUBLE / item_shingles >= 0.8
+"""
+
+OP6 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS hex FROM p),
+d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               ((('0x' || substr(hex, (5 * (i // 4) + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT + 1, 1)), '')
+        AS payload_digest FROM h),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM f
+"""
+
+OP4 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e,
+         embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+           AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS fine FROM embeddings),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE a.fine AND b.fine AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM p WHERE p.a = c.vec_id)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c
+"""
+
+ORACLES = {
+    "op1_decontaminate": OP1,
+    "op4_embedding_near_dedup": OP4,
+    "op6_warc": OP6,
+    "op8_mix_sources": OP8}

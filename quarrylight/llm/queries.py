@@ -6,7 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.corpus import table
-from . import mixing, simhash
+from . import decontaminate, mixing, simhash, substrings, token_shards, vectors, warc
+
+
+def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items that stand in documents."""
+    return decontaminate.contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op4_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and classes of all embeddings."""
+    return vectors.linked_vectors(table(spark, folder, "embeddings"))
 
 
 def op5_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -15,6 +25,21 @@ def op5_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of all pages as read back from normalised archives."""
+    index = warc.archived_pages(table(spark, folder, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that lose sentences to a span standing elsewhere before."""
+    rest = substrings.remove_repeats(table(spark, folder, "documents")).where("removed_sentences > 0")
+    return rest.select(
+        "doc_id", "removed_sentences", "removed_words", F.length("text").cast("long").alias("kept_chars"),
+        F.md5("text").alias("kept_md5"), "source_ids",
+    )
+
+
 def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     """How many words of every document the mix takes."""
     plan = mixing.mix_plan(table(spark, folder, "documents"))
@@ -23,7 +48,17 @@ def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_training_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Sequences of all documents in training order, as read back from their shards."""
+    return token_shards.training_order(table(spark, folder, "documents"))
+
+
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_warc": op6_warc,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_mix_sources": op8_mix_sources,
+    "op10_training_order": op10_training_order,
 }

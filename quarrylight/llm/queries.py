@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.corpus import table
-from . import decontaminate, mixing, simhash, substrings, token_shards, vectors, warc
+from . import decontaminate, licenses, lines, mixing, quality, simhash, substrings, token_shards, vectors, warc
 
 
 def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
@@ -14,6 +14,16 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line of all documents with the line that stays for it."""
+    return lines.fuzzy_lines(table(spark, folder, "documents")).drop("code")
+
+
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licenses named in all documents."""
+    return licenses.scan(table(spark, folder, "documents")).drop("spans")
+
+
 def op4_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Links and classes of all embeddings."""
     return vectors.linked_vectors(table(spark, folder, "embeddings"))
@@ -48,6 +58,12 @@ def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality scores of all documents."""
+    scored = quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return scored.select("doc_id", "quality_score", "text_score", "meta_score", "kept")
+
+
 def op10_training_order(spark: SparkSession, folder: str) -> DataFrame:
     """Sequences of all documents in training order, as read back from their shards."""
     return token_shards.training_order(table(spark, folder, "documents"))
@@ -55,10 +71,13 @@ def op10_training_order(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_license_scan": op3_license_scan,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_warc": op6_warc,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_mix_sources": op8_mix_sources,
+    "op9_quality": op9_quality,
     "op10_training_order": op10_training_order,
 }

@@ -1,26 +1,53 @@
-"""The corpus pipeline: classify, dedup, decontaminate, mix, write token sequences."""
+"""The corpus pipeline: keep good pages, one of each near-copy group, no benchmark leaks, mix, write token sequences."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylight.llm import mixing, simhash
+from quarrylight.llm import decontaminate, mixing, quality, simhash, token_shards
+from quarrylight.session import spill
+from quarrylight.sources.corpus import table
+
+
+def good_pages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier keeps."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies."""
     return simhash.keep_one(docs)
 
 
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
     return mixing.mix(docs)
 
 
-STAGES = [("simhash near-dedup", one_of_each_group), ("mix sources", mixed)]
+def training_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences in training order, as read back from their shards."""
+    return token_shards.training_order(docs)
+
+
+STAGES = [
+    ("quality classifier", good_pages),
+    ("simhash near-dedup", one_of_each_group),
+    ("benchmark decontamination", without_benchmark),
+    ("source mix", mixed),
+    ("training order", training_order),
+]
+# Classification and tokens have no SQL; tests compare the stages with brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over the documents; each result is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = spill(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

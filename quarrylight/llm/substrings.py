@@ -107,6 +107,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = spill(
         texts.mapInArrow(_spans_of_rows, f"id {kind}, code long, first int, stop int, h1 long, h2 long"), "spans"
     )
+    # Most spans stand once. Half of the digest tells which may stand twice; only those go on.
+    likely = places.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1")
+    places = spill(places.join(likely, "h1"), "repeated")
     place = F.struct(F.col("id").isNull().alias("late"), F.col("id"), F.col("code"), F.col("first"))
     heads = places.groupBy("h1", "h2").agg(F.min(place).alias("head"), F.count("*").alias("n")).where("n > 1")
     later = places.join(heads.select("h1", "h2", "head"), ["h1", "h2"]).where(

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
 from ..contracts import CHUNK, CHUNK_LABELS, CHUNK_LINE, DOCUMENT_META, ContractError, enforce_chunks
 from ..functions import fixed
@@ -25,18 +24,53 @@ def _slug_of(path: Column) -> Column:
     return F.url_decode(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1))
 
 
-def _read_json(spark: SparkSession, pattern: str, schema: T.StructType, **options: str) -> DataFrame:
+def _field(text: Column, kind: T.DataType) -> Column:
+    """A JSON field, given as text, in its declared type; null where it has no such value."""
+    if isinstance(kind, T.StringType):
+        return text
+    if isinstance(kind, T.IntegerType):
+        return text.try_cast("double").try_cast("int")
+    if isinstance(kind, (T.DoubleType, T.BooleanType)):
+        return text.try_cast(kind)
+    opening = "[" if isinstance(kind, T.ArrayType) else "{"
+    return F.when(F.ltrim(text).startswith(opening), F.from_json(text, kind))
+
+
+def parsed_lines(lines: DataFrame, schema: T.StructType, column: str = "value") -> DataFrame:
+    """``lines`` with ``schema``'s fields read from JSON text, and ``_malformed``.
+
+    Every field is taken as text and cast by itself: a field of another type becomes null and the
+    row stays. Only text that is no JSON object is malformed; blank text is left out.
+    """
+    loose = T.StructType([*(T.StructField(f.name, T.StringType()) for f in schema), T.StructField("_bad", T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    rest = [c for c in lines.columns if c not in schema.fieldNames()]
+    read = lines.filter(F.trim(F.regexp_replace(column, r"\s+", " ")) != "").select(
+        *rest, F.from_json(F.col(column), loose, options).alias("_json")
+    )
+    whole = F.ltrim(F.regexp_replace(column, r"^\s+", "")).startswith("{") & F.col("_json._bad").isNull()
+    return read.select(
+        *rest, *[_field(F.col(f"_json.{f.name}"), f.dataType).alias(f.name) for f in schema],
+        (~F.coalesce(whole, F.lit(False))).alias("_malformed"),
+    )
+
+
+def _chunk_lines(spark: SparkSession, outputs: str) -> DataFrame:
+    """Lines of all chunk files with their place: ``value``, ``_place`` (file, block, position)."""
+    pattern = f"{outputs}/*/chunks.jsonl"
     if not path_exists(spark, pattern):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).options(**options).json(pattern)
+        return spark.createDataFrame([], "value string, _place struct<file:string,block:bigint,position:bigint>")
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("position"),
+    )
+    return spark.read.text(pattern).select("value", place.alias("_place"))
 
 
 def scan_chunks(spark: SparkSession, outputs: str) -> DataFrame:
-    """Tolerant scan: malformed lines are dropped, no contract is applied."""
-    raw = _read_json(
-        spark, f"{outputs}/*/chunks.jsonl", CHUNK_LINE, mode="DROPMALFORMED"
-    )
-    return raw.select(*CHUNK.fieldNames(), *CHUNK_LABELS)
+    """Tolerant scan: text that is no JSON object is dropped, no contract is applied."""
+    raw = parsed_lines(_chunk_lines(spark, outputs), CHUNK_LINE)
+    return raw.filter(~F.col("_malformed")).select(*CHUNK.fieldNames(), *CHUNK_LABELS)
 
 
 def indexable_text() -> Column:
@@ -54,26 +88,18 @@ def indexable_text() -> Column:
 def scan_chunks_strict(spark: SparkSession, outputs: str) -> DataFrame:
     """Strict scan for indexing: bad JSON and contract violations raise.
 
-    Malformed lines keep their text in a corrupt-record column; the first one is
-    located with file and line number before any index work starts.
+    The first malformed line is located with file and line number before any index work
+    starts. Fields of another type become null, as in the tolerant scan.
     """
     pattern = f"{outputs}/*/chunks.jsonl"
     if not path_exists(spark, pattern):
         raise ValueError(f"no chunks found under {outputs}; nothing to index")
-    schema = T.StructType(CHUNK_LINE.fields + [T.StructField("_bad", T.StringType())])
-    raw = (
-        spark.read.schema(schema)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_bad")
-        .json(pattern)
-        .withColumn("_file", F.col("_metadata.file_path"))
-    )
-    # Reading all columns keeps the corrupt-record column valid in the scan.
-    bad = raw.filter(F.col("_bad").isNotNull() & (F.trim("_bad") != "")).take(1)
+    raw = parsed_lines(_chunk_lines(spark, outputs), CHUNK_LINE)
+    bad = raw.filter("_malformed").select("_place.file", "value").take(1)
     if bad:
-        where, line = bad[0]["_file"], bad[0]["_bad"]
+        where, line = bad[0]
         raise ValueError(f"{where}:{_line_number(spark, where, line)}: invalid JSON")
-    checked = enforce_chunks(raw.filter(F.col("_bad").isNull()))
+    checked = enforce_chunks(raw.drop("value", "_place", "_malformed"))
     return checked.select(
         *[
             indexable_text().alias("text") if name == "text" else F.col(name)
@@ -97,27 +123,14 @@ def require_rows(chunks: DataFrame, where: str) -> DataFrame:
 
 
 def latest_chunks(spark: SparkSession, outputs: str) -> DataFrame:
-    """One row per chunk id; the last one in (slug, position) order wins."""
-    raw = (
-        _read_json(spark, f"{outputs}/*/chunks.jsonl", CHUNK_LINE, mode="DROPMALFORMED")
-        .select(
-            *CHUNK.fieldNames(),
-            F.col("_metadata.file_path").alias("_file"),
-            (F.col("_metadata.file_block_start") * F.lit(1 << 33)
-             + F.monotonically_increasing_id() % F.lit(1 << 33)).alias("_pos"),
-        )
-        if path_exists(spark, f"{outputs}/*/chunks.jsonl")
-        else spark.createDataFrame([], CHUNK).withColumns(
-            {"_file": F.lit(""), "_pos": F.lit(0).cast("long")}
-        )
-    )
-    order = W.partitionBy("chunk_id").orderBy(F.desc("_file"), F.desc("_pos"))
-    return (
-        raw.filter(F.col("chunk_id").isNotNull())
-        .withColumn("_rn", F.row_number().over(order))
-        .filter(F.col("_rn") == 1)
-        .select(*CHUNK.fieldNames())
-    )
+    """One row per chunk id; the last one in (slug, position) order wins.
+
+    A maximum per id is combined before its shuffle, so an id with very many lines is not
+    gathered in one task.
+    """
+    raw = parsed_lines(_chunk_lines(spark, outputs), CHUNK_LINE).filter("NOT _malformed AND chunk_id IS NOT NULL")
+    row = F.struct(*CHUNK.fieldNames())
+    return raw.groupBy("chunk_id").agg(F.max_by(row, "_place").alias("_last")).select("_last.*")
 
 
 def scan_meta(spark: SparkSession, outputs: str) -> DataFrame:
@@ -125,12 +138,8 @@ def scan_meta(spark: SparkSession, outputs: str) -> DataFrame:
     pattern = f"{outputs}/*/document.meta.json"
     if not path_exists(spark, pattern):
         return spark.createDataFrame([], DOCUMENT_META).withColumn("slug", F.lit(""))
-    return (
-        spark.read.schema(DOCUMENT_META)
-        .options(multiLine="true", mode="DROPMALFORMED")
-        .json(pattern)
-        .withColumn("slug", _slug_of(F.col("_metadata.file_path")))
-    )
+    files = spark.read.text(pattern, wholetext=True).select("value", _slug_of(F.col("_metadata.file_path")).alias("slug"))
+    return parsed_lines(files, DOCUMENT_META).filter("NOT _malformed").select(*DOCUMENT_META.fieldNames(), "slug")
 
 
 def list_documents(meta: DataFrame) -> DataFrame:
@@ -167,7 +176,7 @@ def document_features(meta: DataFrame) -> DataFrame:
 
 
 def scan_gold(spark: SparkSession, path: str) -> DataFrame:
-    """External gold: a JSON array or an object with ``items``."""
+    """External gold: a JSON array or an object with ``items``. Fields of another type are null."""
     item = T.StructType(
         [
             T.StructField("id", T.StringType()),
@@ -177,12 +186,12 @@ def scan_gold(spark: SparkSession, path: str) -> DataFrame:
             T.StructField("answerable", T.BooleanType()),
         ]
     )
-    wrapped = T.StructType(item.fields + [T.StructField("items", T.ArrayType(item))])
-    raw = spark.read.schema(wrapped).option("multiLine", "true").json(path)
-    own = F.array(F.struct(*[F.col(f) for f in item.fieldNames()]))
-    return raw.select(
-        F.inline(F.when(F.col("items").isNotNull(), F.col("items")).otherwise(own))
-    )
+    wrapped = T.StructType([T.StructField("items", T.ArrayType(T.StringType()))])
+    text = F.ltrim(F.regexp_replace("value", r"^\s+", ""))
+    several = F.coalesce(F.from_json("value", wrapped)["items"], F.array(F.col("value")))
+    entries = F.when(text.startswith("["), F.from_json("value", T.ArrayType(T.StringType()))).otherwise(several)
+    files = spark.read.text(path, wholetext=True)
+    return parsed_lines(files.select(F.explode(entries).alias("value")), item).filter("NOT _malformed").select(*item.fieldNames())
 
 
 def doi_list(spark: SparkSession, path: str) -> DataFrame:
@@ -199,6 +208,6 @@ def doi_list(spark: SparkSession, path: str) -> DataFrame:
 
 __all__ = [
     "ContractError", "doi_list", "document_features", "document_sources", "indexable_text",
-    "latest_chunks", "list_documents", "path_exists", "require_rows", "scan_chunks",
+    "latest_chunks", "list_documents", "parsed_lines", "path_exists", "require_rows", "scan_chunks",
     "scan_chunks_strict", "scan_gold", "scan_meta",
 ]

@@ -7,17 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..contracts import CHUNK, CHUNK_LINE, audit_chunks
-from ..sources.products import indexable_text
+from ..sources.products import indexable_text, parsed_lines
 
 
 def chunk_stream(spark: SparkSession, outputs: str, files_per_trigger: int = 1000) -> DataFrame:
     """Chunk rows of product folders as they appear, with their contract violation."""
-    raw = (
-        spark.readStream.schema(CHUNK_LINE)
-        .option("mode", "DROPMALFORMED")
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .json(f"{outputs}/*/chunks.jsonl")
-    )
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(f"{outputs}/*/chunks.jsonl")
+    raw = parsed_lines(lines, CHUNK_LINE).filter("NOT _malformed").drop("value", "_malformed")
     return audit_chunks(raw).select(
         *[indexable_text().alias("text") if n == "text" else F.col(n) for n in CHUNK.fieldNames()], "violation"
     )

@@ -198,3 +198,36 @@ def test_chunk_stream_lands_valid_rows_once(spark, outputs):
         land_chunks(chunk_stream(spark, str(outputs)), table, log).awaitTermination()
     assert sorted(r["chunk_id"] for r in landed_chunks(spark, table).collect()) == ["d1-c1", "d1-c2", "d2-c2"]
     assert [r["violation"] for r in spark.read.parquet(table).filter('violation IS NOT NULL').collect()] == ["invalid kind"]
+
+
+def test_fields_of_other_types_keep_their_row(spark, outputs):
+    odd = [
+        {"page": "2"}, {"page": "ii"}, {"page": 3.0}, {"section_path": "Intro"}, {"text": 7}, {"page": None, "caption": ["a"]}, {"page": {"n": 1}},
+    ]
+    rows = [json.dumps({**line(i), **extra}) for i, extra in enumerate(odd)]
+    (outputs / "d1" / "chunks.jsonl").write_text("\n".join([*rows, "  ", "[1, 2]", '"text"', "12", "{broken", "null"]) + "\n")
+    (outputs / "d2" / "chunks.jsonl").write_text("")
+    for scan in (P.scan_chunks, P.latest_chunks):
+        got = {r["chunk_id"]: r for r in scan(spark, str(outputs)).collect()}
+        assert len(got) == len(odd)
+        pages = [got[f"d1-c{i}"]["page"] for i in range(len(odd))]
+        assert pages[:3] == [2, None, 3] and pages[5:] == [None, None]
+        assert got["d1-c3"]["section_path"] is None and got["d1-c4"]["text"] == "7"
+    (outputs / "d1" / "chunks.jsonl").write_text("\n".join(rows) + "\n")
+    assert P.scan_chunks_strict(spark, str(outputs)).count() == len(odd)
+
+
+def test_places_far_into_a_file_stay_in_order(spark):
+    place = "struct<file:string,block:bigint,position:bigint>"
+    rows = [("x", ("f", (1 << 34) + 5, 3), "late"), ("x", ("f", 1 << 30, 9), "early"), ("x", ("e", 1 << 40, 99), "other file")]
+    df = spark.createDataFrame(rows, f"chunk_id string, _place {place}, text string")
+    assert df.selectExpr("max_by(text, _place)").first()[0] == "late"
+
+
+def test_metadata_and_gold_with_odd_fields(spark, outputs, tmp_path):
+    (outputs / "d2" / "document.meta.json").write_text(json.dumps({"id": "d2", "source": "html", "n_chunks": "3", "n_tables": [1], "errors": "none", "source_signals": 5}))
+    meta = {r["id"]: r for r in P.scan_meta(spark, str(outputs)).collect()}
+    assert meta["d2"]["n_chunks"] == 3 and meta["d2"]["n_tables"] is None and meta["d2"]["errors"] is None and meta["d2"]["slug"] == "d2"
+    (tmp_path / "g.json").write_text(json.dumps({"items": [{"id": 1, "gold_chunk_ids": "a", "answerable": "maybe"}, {"id": "2", "gold_chunk_ids": ["a", "b"], "answerable": True}]}))
+    gold = {r["id"]: r for r in P.scan_gold(spark, str(tmp_path / "g.json")).collect()}
+    assert gold["1"]["gold_chunk_ids"] is None and gold["2"]["gold_chunk_ids"] == ["a", "b"] and gold["2"]["answerable"] is True

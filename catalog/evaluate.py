@@ -92,7 +92,7 @@ def feedback_rounds(spark, folder):
     return feedback_search(index(spark, folder), benchmark_batch(spark, folder), 20, feedback=True)
 
 
-KW = S.keywords("ctf", "chunk_id", "kw")
+KW = S.tf("chunks", "chunk_id", "text", "ktf") + "," + S.keywords("ktf", "chunk_id", "kw")
 N_LOCAL = 30
 
 
@@ -362,7 +362,7 @@ def factorial(spark, folder):
     return X.factorial(index(spark, folder), global20(spark, folder), N_LOCAL)
 
 
-GOLD = S.tf("tagged", "id", "opening", "otf") + """,
+GOLD = S.search_tf("tagged", "id", "opening", "otf") + """,
 on_ AS (SELECT id, count(*) AS words FROM otf GROUP BY 1 HAVING count(*) >= 3),
 gold AS (SELECT t.id, t.scope, t.question, m.chunk_id
          FROM (SELECT o.id, c.chunk_id FROM on_ JOIN otf o USING (id) JOIN ctf c USING (term)
@@ -403,7 +403,7 @@ def external_scores(spark, folder):
 
 
 def covering_chunks(ix, bench):
-    """``(id, chunk_id)`` for openings of three or more content words."""
+    """``(id, chunk_id)`` for openings of three or more words."""
     terms = query_terms(bench.select(F.col("id").alias("query_id"), F.col("opening").alias("question")))
     sizes = terms.groupBy("query_id").agg(F.count("*").alias("words")).filter(F.col("words") >= 3)
     return (

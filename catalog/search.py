@@ -130,7 +130,7 @@ def chunk_vectors(spark, folder):
 
 
 @query("bm25_topk", S.with_(
-    S.CHUNK_INDEX, S.BENCH_Q, S.tf("q", "query_id", "question", "qtf"),
+    S.CHUNK_INDEX, S.BENCH_Q, S.search_tf("q", "query_id", "question", "qtf"),
     "b_t AS (SELECT query_id, term FROM qtf)", S.sparse("q", "b", "20"),
     select="SELECT query_id, rank::INTEGER AS rank, chunk_id, score FROM b"))
 def bm25_topk(spark, folder):
@@ -138,7 +138,7 @@ def bm25_topk(spark, folder):
 
 
 @query("dense_topk", S.with_(
-    S.CHUNK_INDEX, S.BENCH_Q, S.tf("q", "query_id", "question", "qtf"),
+    S.CHUNK_INDEX, S.BENCH_Q, S.search_tf("q", "query_id", "question", "qtf"),
     S.vectors("qtf", "query_id", "d_v"), S.dense("q", "d", "20"),
     select="SELECT query_id, rank::INTEGER AS rank, chunk_id, score FROM d"))
 def dense_text_topk(spark, folder):
@@ -250,8 +250,8 @@ ROUTED = ",".join([
 ex(side, no, text) AS (VALUES {exemplar_rows('local', fixed.LOCAL_EXEMPLARS)},
                               {exemplar_rows('global', fixed.GLOBAL_EXEMPLARS)}),
 exk AS (SELECT side || no AS ek, text FROM ex)""",
-    S.tf("exk", "ek", "text", "etf"), S.vectors("etf", "ek", "ev"),
-    S.tf("q0", "query_id", "question", "q0tf"), S.vectors("q0tf", "query_id", "q0v"),
+    S.search_tf("exk", "ek", "text", "etf"), S.vectors("etf", "ek", "ev"),
+    S.search_tf("q0", "query_id", "question", "q0tf"), S.vectors("q0tf", "query_id", "q0v"),
     f"""
 sim AS (SELECT query_id, ek, coalesce(sum(v.w * e.w), 0) AS s
         FROM (SELECT query_id, ek FROM q0, exk) LEFT JOIN q0v v USING (query_id)

@@ -11,6 +11,7 @@ def words(values) -> str:
 
 STOP = words(fixed.KEYWORD_STOP)
 WORD = fixed.WORD_PATTERN
+SEARCH = fixed.SEARCH_PATTERN
 
 CHUNKS = """
 lines AS (
@@ -34,6 +35,15 @@ def tf(source: str, key: str, text: str, out: str, stop: str = STOP) -> str:
   GROUP BY {key}, term)"""
 
 
+def search_tf(source: str, key: str, text: str, out: str) -> str:
+    """Counts of search words: ``out(key, term, n)``."""
+    return f"""
+{out} AS (
+  SELECT {key}, term, count(*) AS n
+  FROM (SELECT {key}, lower(unnest(regexp_extract_all({text}, '{SEARCH}'))) AS term FROM {source})
+  GROUP BY {key}, term)"""
+
+
 def keywords(tf_name: str, key: str, out: str) -> str:
     """All terms with their keyword rank: ``out(key, term, n, kw_rank)``."""
     return f"""
@@ -58,7 +68,7 @@ def vectors(tf_name: str, key: str, out: str) -> str:
 CHUNK_INDEX = (
     CHUNKS
     + ","
-    + tf("chunks", "chunk_id", "text", "ctf")
+    + search_tf("chunks", "chunk_id", "text", "ctf")
     + ","
     + vectors("ctf", "chunk_id", "cvec")
     + """,
@@ -125,7 +135,7 @@ def hybrid(q: str, out: str, candidate_k: str, fill: bool = True) -> str:
     """Hybrid search of the queries in ``q(query_id, question)``: ``out(query_id, chunk_id, score, rank)``."""
     return ",".join(
         [
-            tf(q, "query_id", "question", f"{out}_qtf"),
+            search_tf(q, "query_id", "question", f"{out}_qtf"),
             vectors(f"{out}_qtf", "query_id", f"{out}_d_v"),
             f"\n{out}_b_t AS (SELECT query_id, term FROM {out}_qtf)",
             dense(q, f"{out}_d", candidate_k, fill),

@@ -7,7 +7,10 @@ the values are kept together and in plain text.
 from __future__ import annotations
 
 # --- tokens -----------------------------------------------------------------
+# Words of keywords and probes.
 WORD_PATTERN = r"[A-Za-z][A-Za-z0-9\-]{2,}"
+# Words of the full-text index, the vectors and their queries: all letters, marks and digits.
+SEARCH_PATTERN = r"[\p{L}\p{M}\p{N}]+"
 
 # Function words ignored by keyword extraction.
 KEYWORD_STOP = (

@@ -24,18 +24,28 @@ def word_tokens(text: Column, drop: Iterable[str] = ()) -> Column:
     return F.coalesce(words, F.array().cast("array<string>"))
 
 
+def search_tokens(text: Column) -> Column:
+    """Every word of ``text`` in reading order, lower-cased, of any script and length."""
+    words = F.transform(F.regexp_extract_all(text, F.lit(fixed.SEARCH_PATTERN), F.lit(0)), F.lower)
+    return F.coalesce(words, F.array().cast("array<string>"))
+
+
 def with_term_counts(
-    df: DataFrame, text: str, out: str = "terms", drop: Iterable[str] = fixed.KEYWORD_STOP
+    df: DataFrame, text: str, out: str = "terms", drop: Iterable[str] = fixed.KEYWORD_STOP,
+    search: bool = False,
 ) -> DataFrame:
     """Add ``out``: array of ``(term, n, first_pos)``, one entry per distinct word.
 
+    Words are those of keywords without the ones in ``drop``, or with ``search`` all search words.
+
     Words are sorted with their position, then every run of equal words becomes
     one entry. The steps are separate projections so that each array is built once.
     Explode the result with ``explode_outer``: the size filter that Spark derives
     for ``explode`` is pushed below these projections and would repeat them.
     """
     keep = [c for c in df.columns if c != out]
-    words = df.select(*keep, word_tokens(F.col(text), drop).alias("_words"))
+    tokens = search_tokens(F.col(text)) if search else word_tokens(F.col(text), drop)
+    words = df.select(*keep, tokens.alias("_words"))
     placed = words.select(
         *keep,
         F.array_sort(

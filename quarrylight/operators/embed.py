@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +17,7 @@ from ..functions import fixed
 from ..session import ship_package
 
 DEFAULT_MODEL = "hashed-384"
-_WORD = re.compile(fixed.WORD_PATTERN)
-_STOP = frozenset(fixed.KEYWORD_STOP)
+_WORD = regex.compile(fixed.SEARCH_PATTERN)
 
 
 @lru_cache(maxsize=200_000)
@@ -40,8 +39,7 @@ class HashingEmbedder:
             counts: dict[str, int] = {}
             for word in _WORD.findall(text or ""):
                 word = word.lower()
-                if word not in _STOP:
-                    counts[word] = counts.get(word, 0) + 1
+                counts[word] = counts.get(word, 0) + 1
             for word, n in counts.items():
                 at, sign = _bucket(word, self.dim)
                 out[row, at] += sign * (1.0 + math.log(n))

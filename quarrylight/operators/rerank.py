@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions import fixed
-from ..functions.text import word_tokens
+from ..functions.text import search_tokens
 from ..session import broadcast_within, ship_package
 
 _SCORERS: dict[str, Callable[[list[tuple[str, str]]], list[float]]] = {}
@@ -56,9 +55,9 @@ def rerank_hits(
 
 
 def _overlap(question: F.Column, text: F.Column) -> F.Column:
-    """Share of the question's distinct content words found in the text."""
-    asked = F.array_distinct(word_tokens(question, fixed.KEYWORD_STOP))
-    shared = F.size(F.array_intersect(asked, word_tokens(text, fixed.KEYWORD_STOP)))
+    """Share of the question's distinct words found in the text."""
+    asked = F.array_distinct(search_tokens(question))
+    shared = F.size(F.array_intersect(asked, search_tokens(text)))
     return F.when(F.size(asked) == 0, F.lit(0.0)).otherwise(shared / F.size(asked))
 
 

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import word_tokens
-from ..functions import fixed
+from ..functions.text import search_tokens
 from ..session import BROADCAST_ROWS, bounded_count, broadcast_within, spill
 
 K1 = 1.2
@@ -15,8 +14,8 @@ B = 0.75
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    """Distinct content words per query."""
-    words = F.array_distinct(word_tokens(F.col("question"), fixed.KEYWORD_STOP))
+    """Distinct words per query."""
+    words = F.array_distinct(search_tokens(F.col("question")))
     return queries.select("query_id", F.explode_outer(words).alias("term")).filter(
         F.col("term").isNotNull()
     )

@@ -4,7 +4,7 @@ The index is a folder of Parquet tables that is rebuilt as a whole:
 
 ==============  =====================================================================
 ``chunks``      the chunk relation, text made indexable
-``terms``       one row per chunk: its counted terms, length, top keywords
+``terms``       one row per chunk: its counted search words, length, top keywords
 ``postings``    ``(term, chunk_id, tf, dl)``, clustered and sorted by term
 ``term_stats``  ``(term, df)``
 ``vectors``     ``(chunk_id, vector)``
@@ -20,7 +20,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import top_terms, with_term_counts
+from ..functions.text import with_keywords, with_term_counts
 from ..operators.embed import DEFAULT_MODEL, embed
 
 KEYWORDS_KEPT = 12
@@ -76,9 +76,10 @@ def build_index(chunks: DataFrame, path: str, model: str = DEFAULT_MODEL) -> Cor
     chunks.write.mode("overwrite").parquet(f"{path}/chunks")
     stored = index.chunks
 
-    counted = with_term_counts(
-        stored.select("chunk_id", "doc_id", "kind", "section_path", "text"), "text"
+    named = with_keywords(
+        stored.select("chunk_id", "doc_id", "kind", "section_path", "text"), "text", KEYWORDS_KEPT
     )
+    counted = with_term_counts(named, "text", search=True)
     counted.select(
         "chunk_id",
         "doc_id",
@@ -87,7 +88,7 @@ def build_index(chunks: DataFrame, path: str, model: str = DEFAULT_MODEL) -> Cor
         (F.length("text") > 0).alias("has_text"),
         "terms",
         F.aggregate("terms", F.lit(0), lambda s, t: s + t["n"]).alias("dl"),
-        top_terms(F.col("terms"), KEYWORDS_KEPT).alias("keywords"),
+        "keywords",
     ).write.mode("overwrite").parquet(f"{path}/terms")
 
     terms = index.table("terms")

@@ -108,7 +108,7 @@ def pieces(text: str) -> Iterator[str]:
 
 def _tokens(encoding: tiktoken.Encoding, text: str | None) -> Iterator[np.ndarray]:
     for piece in pieces(text or ""):
-        yield np.array(encoding.encode_ordinary(piece), np.uint16)
+        yield encoding.encode_to_numpy(piece, disallowed_special=()).astype(np.uint16)
     yield np.array([END], np.uint16)
 
 
@@ -228,12 +228,12 @@ def meta(spark: SparkSession, path: str):
     return spark.read.parquet(f"{path}/meta").first()
 
 
-def read_shards(spark: SparkSession, path: str, from_slot: int = 0) -> DataFrame:
-    """(slot, shard, offset, ids) from a slot on: whole shards before it are not opened."""
+def _shard_blocks(spark: SparkSession, path: str, from_slot: int, describe, schema: str) -> DataFrame:
+    """Rows that ``describe`` makes of blocks (slots, shard, offsets, matrix of ids) of all shards from a slot on."""
     ship_package(spark)
     at = meta(spark, path)
     if not at["total"]:
-        return spark.createDataFrame([], "slot long, shard long, offset long, ids array<int>")
+        return spark.createDataFrame([], schema)
     stride = WIDTH * at["length"] + len(TERMINATOR)
     per_shard, length = at["per_shard"], at["length"]
     files = spark.read.format("binaryFile").load(f"{path}/shards")
@@ -243,34 +243,37 @@ def read_shards(spark: SparkSession, path: str, from_slot: int = 0) -> DataFrame
         for batch in batches:
             for shard, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows = np.frombuffer(content.as_buffer(), np.uint8).reshape(-1, stride)
-                skip = max(0, from_slot - shard * per_shard)
-                for start in range(skip, len(rows), 1024):
+                for start in range(max(0, from_slot - shard * per_shard), len(rows), 1024):
                     block = rows[start : start + 1024]
-                    ids = block[:, : WIDTH * length].copy().view("<u2").astype(np.int32)
                     order = np.arange(start, start + len(block))
-                    offsets = pa.array(np.arange(len(block) + 1, dtype=np.int32) * length)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(order + shard * per_shard), pa.array(np.full(len(block), shard, np.int64)),
-                            pa.array(order * stride), pa.ListArray.from_arrays(offsets, pa.array(ids.reshape(-1))),
-                        ],
-                        ["slot", "shard", "offset", "ids"],
-                    )
-
-    return files.select(F.col("shard").cast("long").alias("shard"), "content").mapInArrow(
-        cut, "slot long, shard long, offset long, ids array<int>"
-    )
+                    ids = block[:, : WIDTH * length].copy().view("<u2")
+                    yield describe(order + shard * per_shard, np.full(len(block), shard), order * stride, ids)
 
+    return files.select(F.col("shard").cast("long").alias("shard"), "content").mapInArrow(cut, schema)
 
-def digests(read: DataFrame) -> DataFrame:
-    """``ids`` replaced by the number of ids that are not end ids and a hash of them all."""
 
-    @F.pandas_udf("n_tokens int, digest string")
-    def of(ids: pd.Series) -> pd.DataFrame:
-        rows = [(int((np.asarray(x) != END).sum()), xxhash.xxh64_hexdigest(np.asarray(x, "<u2").tobytes())) for x in ids]
-        return pd.DataFrame(rows, columns=["n_tokens", "digest"])
+def read_shards(spark: SparkSession, path: str, from_slot: int = 0) -> DataFrame:
+    """(slot, shard, offset, ids) from a slot on: whole shards before it are not opened."""
+
+    def describe(slot, shard, offset, ids):
+        ends = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * ids.shape[1])
+        lists = pa.ListArray.from_arrays(ends, pa.array(ids.reshape(-1).astype(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(slot), pa.array(shard), pa.array(offset), lists], ["slot", "shard", "offset", "ids"])
+
+    return _shard_blocks(spark, path, from_slot, describe, "slot long, shard long, offset long, ids array<int>")
+
+
+def shard_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(slot, shard, offset, ``n_tokens``, ``digest``): ids that are not end ids, and a hash of all."""
+
+    def describe(slot, shard, offset, ids):
+        hashes = pa.array([xxhash.xxh64_hexdigest(row.tobytes()) for row in ids])
+        counts = pa.array((ids != END).sum(axis=1).astype(np.int32))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(slot), pa.array(shard), pa.array(offset), counts, hashes], ["slot", "shard", "offset", "n_tokens", "digest"]
+        )
 
-    return read.withColumn("__d", of("ids")).select("slot", "shard", "offset", "__d.n_tokens", "__d.digest")
+    return _shard_blocks(spark, path, 0, describe, "slot long, shard long, offset long, n_tokens int, digest string")
 
 
 def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -280,4 +283,4 @@ def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     path = scratch_path(spark, "token-shards")
     pairs = write_shards(docs, path, id_col, text_col, **options)
     ids = pairs.groupBy("slot").agg(F.array_sort(F.collect_set(id_col)).alias("doc_ids"))
-    return digests(read_shards(spark, path)).join(ids, "slot")
+    return shard_digests(spark, path).join(ids, "slot")

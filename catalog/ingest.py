@@ -301,7 +301,10 @@ SELECT doc_id, n_pages::INTEGER AS n_pages, image_coverage, has_text_layer, CASE
        round(least(1.0, 0.55 + 0.25 * greatest(0.0, ((CASE WHEN fr >= 0.5 THEN fr ELSE 1 - fr END) - 0.5) / 0.5)
              + CASE WHEN (fr >= 0.5) = sig THEN 0.2 ELSE 0 END), 4) AS source_confidence,
        CASE WHEN fr >= 0.5 THEN 'pdf-scan' ELSE 'pdf-native' END AS route, round(fr, 4) AS scan_fraction, mean_noise_ratio, page_labels
-FROM s""")
+FROM s
+UNION ALL
+SELECT 'o' || o_orderkey, 0, 0.0, false, 1, false, 'pdf-native', 0.0, 'pdf-native', 0.0, 0.0, ''
+FROM orders WHERE 'o' || o_orderkey NOT IN (SELECT doc_id FROM a)""")
 def source_class(spark, folder):
     info = read(spark, folder, "orders").select(
         F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("doc_id"),
@@ -309,8 +312,7 @@ def source_class(spark, folder):
         F.lit("").alias("creator"),
     )
     found = CL.classify_documents(line_traits(spark, folder), info)
-    # Orders without lines have no sampled page; the comparison covers those with one.
-    return found.filter("n_pages > 0").select(
+    return found.select(
         "doc_id", "n_pages", "image_coverage", "has_text_layer", "col_count_guess", "looks_scanned",
         "source_class", "source_confidence", "route", "signals.scan_fraction", "signals.mean_noise_ratio",
         F.array_join("signals.page_labels", ",").alias("page_labels"),

@@ -5,6 +5,7 @@ Commands take the session from ``spark-submit`` when there is one.
 
 from __future__ import annotations
 
+import json
 import sys
 
 from pyspark.sql import SparkSession
@@ -58,7 +59,7 @@ def ingest(args: list[str]) -> int:
         blocks = html_blocks(files, slug_from_path(F.col("_file")), "value")
     else:
         blocks = parse_files(spark, args[0])
-    for row in write_product(intermediate_documents(blocks), outputs).limit(100).collect():
+    for row in write_product(intermediate_documents(blocks), outputs).toLocalIterator():
         print(f"ingested {row['doc_id']} -> {row['path']} ({row['n_chunks']} chunks, {row['status']})")
     return 0
 
@@ -97,7 +98,9 @@ def experiment(args: list[str]) -> int:
     results = run_experiments(_index(spark, recipe), features, recipe.evaluation)
     for name, frame in results.items():
         print(f"== {name} ==")
-        frame.orderBy(*frame.columns[:2]).show(100, truncate=False)
+        print("\t".join(frame.columns))
+        for row in frame.orderBy(*frame.columns[:2]).toLocalIterator():
+            print("\t".join(str(v) for v in row))
     cells = {r["cell"]: r["recall_at_b"] for r in results["factorial"].collect()}
     for cell, value in cells.items():
         if value is not None and cells.get("single") is not None:
@@ -132,8 +135,11 @@ def bench(args: list[str]) -> int:
     n = recipe.evaluation.n_local
     probes = spill(global_probes(ix, n, 20), "probes")
     arms = four_arm_results(ix, built, probes, n, 20, recipe.search, recipe.graph)
-    means = {r["arm"]: r["mean_recall"] or 0.0 for r in arm_means(probes, arms).collect()}
-    print(f"{means}\n{verdict(means)}")
+    table = spill(arm_means(probes, arms), "means")
+    means = {r["arm"]: r["mean_recall"] or 0.0 for r in table.collect()}
+    word = verdict(table).first()["verdict"]
+    print(f"{means}\n{word}")
+    print("BENCH_JSON " + json.dumps({"n_probes": probes.count(), "k": 20, "mean_recall": means, "verdict": word}))
     return 0
 
 

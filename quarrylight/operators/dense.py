@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import bounded_count, ship_package, spill
 from .sparse import top_by_query
 
 MAX_BATCH = 4096
@@ -156,12 +156,25 @@ def _by_blocks(vectors: DataFrame, queries: DataFrame, k: int, item: str) -> Dat
 def dense_moments(vectors: DataFrame, queries: DataFrame, max_batch: int = MAX_BATCH) -> DataFrame:
     """Per query the mean and population deviation of the scores over all vectors.
 
-    Each task gives one row of count, sum and sum of squares per query.
+    Each task gives one row of count, sum and sum of squares per query. A batch of more
+    than ``max_batch`` queries is dealt to blocks by hash, with one scan of the vectors each.
     """
     ship_package(vectors.sparkSession)
-    batch = queries.select("query_id", "vector").limit(max_batch + 1).toArrow()
-    if batch.num_rows > max_batch:
-        raise ValueError(f"more than {max_batch} queries; split the batch")
+    stored = queries.select("query_id", "vector")
+    if bounded_count(stored, max_batch) is not None:
+        return _moments(vectors, stored)
+    stored = spill(stored, "moments")
+    blocks = math.ceil(2 * stored.count() / max_batch)
+    out = None
+    for i in range(blocks):
+        block = _moments(vectors, stored.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i))
+        out = block if out is None else out.unionByName(block)
+    return out
+
+
+def _moments(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """:func:`dense_moments` of one block of queries."""
+    batch = queries.toArrow()
     ids = batch.column("query_id").to_pylist()
     shared = vectors.sparkSession.sparkContext.broadcast(_matrix(batch.column("vector")))
 

@@ -133,6 +133,28 @@ def latest_chunks(spark: SparkSession, outputs: str) -> DataFrame:
     return raw.groupBy("chunk_id").agg(F.max_by(row, "_place").alias("_last")).select("_last.*")
 
 
+# Name, folder and file ending of each artifact kind.
+ARTIFACT_FOLDERS = {
+    "t": ("table", "tables", ".table.json"),
+    "f": ("figure", "figures", ".json"),
+    "e": ("formula", "formulas", ".json"),
+}
+
+
+def artifact_files(spark: SparkSession, outputs: str, kind: str, docs: str = "*") -> DataFrame:
+    """``(doc_id, file_id, body)`` of the artifact files of a kind, one row per file; ``docs`` is a glob of folders."""
+    _, folder, ending = ARTIFACT_FOLDERS[kind]
+    pattern = f"{outputs}/{docs}/{folder}/*{ending}"
+    if not path_exists(spark, pattern):
+        return spark.createDataFrame([], "doc_id string, file_id string, body string")
+    path = F.url_decode(F.col("_metadata.file_path"))
+    return spark.read.text(pattern, wholetext=True).select(
+        F.element_at(F.split(path, "/"), -3).alias("doc_id"),
+        F.regexp_replace(F.element_at(F.split(path, "/"), -1), ending.replace(".", r"\.") + "$", "").alias("file_id"),
+        F.col("value").alias("body"),
+    )
+
+
 def scan_meta(spark: SparkSession, outputs: str) -> DataFrame:
     """Document metadata; unreadable files are skipped. Adds the folder name."""
     pattern = f"{outputs}/*/document.meta.json"

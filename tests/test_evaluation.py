@@ -138,5 +138,11 @@ def test_external_gold(spark, index):
     assert draw == [1, 1]
 
 
-def test_verdict():
-    assert "BEATS" in X.verdict({"graph": 0.5, "multi": 0.4}) and "TIES" in X.verdict({"graph": 0.4, "multi": 0.4})
+def test_verdict(spark):
+    def of(graph, multi):
+        means = spark.createDataFrame([("graph", graph), ("multi", multi), ("hybrid", 0.9)], "arm string, mean_recall double")
+        return X.verdict(means).first()["verdict"]
+
+    assert of(0.5, 0.4) == "graph BEATS multi-query (0.5000 vs 0.4000, +0.1000)"
+    assert of(0.4, 0.4) == "graph TIES multi-query (0.4000 vs 0.4000)"
+    assert of(None, 0.25) == "graph LOSES to multi-query (0.0000 vs 0.2500, -0.2500)"

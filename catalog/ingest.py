@@ -37,17 +37,17 @@ def _decoded(expr: str) -> str:
     return expr
 
 
-# RE2 has no back references, so each skipped element is removed on its own; the
-# sections of these pages do not nest.
-_BODY = "html"
-for _pattern in (r"(?s)<!--.*?-->", *[rf"(?s)<{t}\b.*?</{t}>" for t in ("head", "script", "style", "nav", "footer")],
-                 PG.ADVERT):
+# RE2 has no back references, so each skipped element is removed on its own; those of
+# these pages do not nest.
+_BODY = "translate(html, chr(1) || chr(2), '  ')"
+for _pattern in (r"(?s)<!--.*?-->", *[rf"(?si)<{t}\b.*?</{t}\s*>" for t in ("head", "script", "style", "template", "noscript")]):
     _BODY = f"regexp_replace({_BODY}, '{_pattern}', ' ', 'g')"
+_BODY = f"regexp_replace({_BODY}, '{PG.BLOCK_BREAK}', chr(1) || chr(2), 'g')"
 
 BLOCKS = f"""
-pieces AS (SELECT 'p' || page_id AS doc_id, unnest(ps[2:]) AS piece, generate_subscripts(ps[2:], 1) AS block_no
-           FROM (SELECT page_id, string_split(regexp_replace({_BODY}, '{PG.BLOCK_OPEN}', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS ps FROM pages)),
-cut AS (SELECT doc_id, block_no, string_split(piece, chr(2))[1] AS tag, substr(piece, instr(piece, chr(2)) + 1) AS content FROM pieces),
+pieces AS (SELECT 'p' || page_id AS doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS block_no
+           FROM (SELECT page_id, string_split(chr(2) || regexp_replace({_BODY}, '{PG.BLOCK_OPEN}', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS ps FROM pages)),
+cut AS (SELECT doc_id, block_no, lower(string_split(piece, chr(2))[1]) AS tag, substr(piece, instr(piece, chr(2)) + 1) AS content FROM pieces),
 blocks AS (
   SELECT doc_id, block_no, tag,
          CASE tag {' '.join(f"WHEN '{t}' THEN {s}" for t, s in PG.TAG_SIZES.items())} ELSE {PG.TEXT_SIZE} END::DOUBLE AS size,

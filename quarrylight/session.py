@@ -36,10 +36,16 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set."""
+    """The cluster's shared checkpoint folder; a temporary one only in a local session without it.
+
+    On a cluster the executors do not share local disks, so there an unset folder is an error.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        one_machine = context.master == "local" or context.master.startswith("local[")
+        if configured is None and not one_machine:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="quarrylight-"))
     return configured or context.getCheckpointDir()
 

@@ -18,9 +18,14 @@ from ..contracts import ContractError
 # Font size that stands for each block tag.
 TAG_SIZES = {"h1": 20.0, "h2": 17.0, "h3": 14.0, "h4": 12.5, "h5": 12.0, "h6": 11.5}
 TEXT_SIZE = 10.0
-SKIPPED = r"(?s)<!--.*?-->|<(script|style|nav|footer|head)\b.*?</(script|style|nav|footer|head)>"
-ADVERT = r'(?s)<div class="ad">.*?</div>'
-BLOCK_OPEN = r"<(h[1-6]|p|li|figcaption)(\s[^>]*)?>"
+# Elements without readable text.
+SKIPPED = r"(?si)<!--.*?-->|<(script|style|head|template|noscript)\b.*?</\1\s*>"
+BLOCK_OPEN = r"(?i)<(h[1-6]|p|li|figcaption)(\s[^>]*)?>"
+# Tags between which other text is a block of its own.
+BLOCK_BREAK = (
+    r"(?i)</(h[1-6]|p|li|figcaption)\s*>"
+    r"|</?(address|article|aside|blockquote|body|div|dl|dt|dd|figure|footer|form|header|html|main|nav|ol|pre|section|table|td|th|tr|ul)(\s[^>]*)?>"
+)
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
 
 
@@ -33,14 +38,19 @@ def plain_text(markup: Column) -> Column:
 
 
 def html_blocks(pages: DataFrame, doc_id: Column, html: str = "html") -> DataFrame:
-    """One row per non-empty heading or paragraph, in reading order; map-only."""
-    body = F.regexp_replace(F.regexp_replace(F.col(html), SKIPPED, " "), ADVERT, " ")
-    marked = F.regexp_replace(body, BLOCK_OPEN, "\u0001$1\u0002")
-    pieces = F.slice(F.split(marked, "\u0001"), 2, F.lit(2_000_000_000))
+    """One row per non-empty heading, paragraph or other run of text, in reading order; map-only.
+
+    All readable text of a page is in exactly one block, also before the first block tag and
+    between blocks.
+    """
+    body = F.regexp_replace(F.translate(F.col(html), "\u0001\u0002", "  "), SKIPPED, " ")
+    broken = F.regexp_replace(body, BLOCK_BREAK, "\u0001\u0002")
+    marked = F.regexp_replace(broken, BLOCK_OPEN, "\u0001$1\u0002")
+    pieces = F.split(F.concat(F.lit("\u0002"), marked), "\u0001")
     rows = pages.select(doc_id.alias("doc_id"), F.posexplode_outer(pieces).alias("pos", "piece")).filter(
         F.col("piece").isNotNull()
     )
-    tag = F.substring_index("piece", "\u0002", 1)
+    tag = F.lower(F.substring_index("piece", "\u0002", 1))
     content = F.substring(F.col("piece"), F.length(tag) + 2, F.length("piece"))
     size = F.lit(TEXT_SIZE)
     for name, points in TAG_SIZES.items():

@@ -196,7 +196,7 @@ def test_intermediate_contract():
 
 def test_html_to_product(spark, tmp_path):
     html = (
-        "<html><head><title>x</title></head><body><nav><p>menu</p></nav><h1>Main &amp; Title</h1>"
+        "<html><head><title>x</title></head><body><script>var a = '<p>no</p>';</script><h1>Main &amp; Title</h1>"
         "<p>First <b>para</b>.</p><!-- <p>no</p> --><h2>Sub</h2><p>Second<p>Third</body></html>"
     )
     pages = spark.createDataFrame([("w", html)], "id string, html string")
@@ -213,6 +213,20 @@ def test_html_to_product(spark, tmp_path):
     assert (tmp_path / "outputs/w/document.md").read_text().startswith("# Main & Title")
 
 
+def test_html_blocks_keep_all_readable_text(spark):
+    html = (
+        'loose start<div class="ad">Advice</div><nav><ul><li>One</li><li>Two</li></ul></nav><H2 id="x">Head</H2>between'
+        "<p>First</p>after<table><tr><td>a</td><td>b</td></tr></table><style>p{}</style><script>if (a<b) {'</nav>'}</script><footer>&copy; end</footer>tail"
+    )
+    pages = spark.createDataFrame([("w", html), ("x", None), ("y", "")], "id string, html string")
+    rows = PG.html_blocks(pages, F.col("id")).orderBy("block_no").collect()
+    assert [(r["label"], r["text"]) for r in rows] == [
+        ("text", "loose start"), ("text", "Advice"), ("list_item", "One"), ("list_item", "Two"), ("section_header", "Head"), ("text", "between"),
+        ("text", "First"), ("text", "after"), ("text", "a"), ("text", "b"), ("text", "&copy; end"), ("text", "tail"),
+    ]
+    assert rows[4]["level"] == 2 and rows[4]["size"] == 17.0
+
+
 def test_engine_choice(monkeypatch):
     monkeypatch.setenv("QUARRYLIGHT_ENGINE", "Other")
     assert PG.choose_engine("LEAN") == "lean" and PG.choose_engine() == "other"

@@ -5,8 +5,8 @@ Two physical forms give the same rows:
 * a query batch within ``MAX_BATCH`` vectors is sent to every task once; each task
   multiplies its vectors with the batch and keeps the best ``k`` per query, so only
   ``tasks * queries * k`` rows are shuffled and the vectors never move;
-* a larger batch is cut into query blocks and vector blocks of bounded size that
-  meet by an equi-join on the block numbers.
+* a larger batch is cut into query blocks of bounded size that go to the vectors one
+  after the other, with one scan each; the vectors do not move here either.
 """
 
 from __future__ import annotations
@@ -20,11 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bounded_count, ship_package, spill
+from ..session import bounded_count, scratch_path, ship_package, spill
 from .sparse import top_by_query
 
 MAX_BATCH = 4096
-BLOCK_ROWS = 8192
 SCORE_DIGITS = 6
 _CELLS = 4_000_000
 
@@ -79,7 +78,7 @@ def dense_topk(
     if batch.num_rows <= max_batch:
         partial = _by_batch(vectors, batch, k, item)
     else:
-        partial = _by_blocks(vectors, queries, k, item)
+        partial = _by_blocks(vectors, queries, k, item, max_batch)
     return top_by_query(partial, k, item).select("query_id", "rank", item, "score")
 
 
@@ -113,44 +112,22 @@ def _by_batch(vectors: DataFrame, batch: pa.Table, k: int, item: str) -> DataFra
     )
 
 
-def _by_blocks(vectors: DataFrame, queries: DataFrame, k: int, item: str) -> DataFrame:
-    """Block join: every pair of blocks meets in exactly one group of bounded size."""
-    n_vector = max(1, math.ceil(vectors.count() / BLOCK_ROWS))
-    n_query = max(1, math.ceil(queries.count() / BLOCK_ROWS))
-
-    def block(col: str, n: int) -> F.Column:
-        return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
-
-    def every(n: int) -> F.Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+def query_blocks(queries: DataFrame, max_batch: int) -> Iterator[DataFrame]:
+    """The queries in blocks by hash of their id, about half of ``max_batch`` rows each."""
+    stored = spill(queries.select("query_id", "vector"), "asked")
+    blocks = math.ceil(2 * stored.count() / max_batch)
+    for i in range(blocks):
+        yield stored.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
 
-    left = vectors.select(
-        F.col(item).cast("string").alias("item"), "vector", block(item, n_vector).alias("vb")
-    ).withColumn("qb", every(n_query))
-    right = queries.select("query_id", "vector", block("query_id", n_query).alias("qb")).withColumn(
-        "vb", every(n_vector)
-    )
 
-    def score(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(v) or not len(q):
-            return pd.DataFrame({"query_id": [], item: [], "score": []})
-        v = v.sort_values("item")
-        qi, vi, s = block_top(
-            np.stack(q["vector"]).astype(np.float64), np.stack(v["vector"]).astype(np.float64), k
-        )
-        return pd.DataFrame(
-            {
-                "query_id": q["query_id"].to_numpy()[qi],
-                item: v["item"].to_numpy()[vi],
-                "score": s,
-            }
-        )
-
-    return (
-        left.groupBy("vb", "qb")
-        .cogroup(right.groupBy("vb", "qb"))
-        .applyInPandas(score, f"query_id string, {item} string, score double")
-    )
+def _by_blocks(vectors: DataFrame, queries: DataFrame, k: int, item: str, max_batch: int) -> DataFrame:
+    """One scan of the vectors per query block; each block's best rows are written before the next one."""
+    spark = vectors.sparkSession
+    path = scratch_path(spark, "dense-blocks")
+    for block in query_blocks(queries, max_batch):
+        part = _by_batch(vectors, block.toArrow(), k, item)
+        top_by_query(part, k, item).drop("rank").write.mode("append").parquet(path)
+    return spark.read.parquet(path)
 
 
 def dense_moments(vectors: DataFrame, queries: DataFrame, max_batch: int = MAX_BATCH) -> DataFrame:
@@ -163,12 +140,10 @@ def dense_moments(vectors: DataFrame, queries: DataFrame, max_batch: int = MAX_B
     stored = queries.select("query_id", "vector")
     if bounded_count(stored, max_batch) is not None:
         return _moments(vectors, stored)
-    stored = spill(stored, "moments")
-    blocks = math.ceil(2 * stored.count() / max_batch)
     out = None
-    for i in range(blocks):
-        block = _moments(vectors, stored.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i))
-        out = block if out is None else out.unionByName(block)
+    for block in query_blocks(stored, max_batch):
+        part = _moments(vectors, block)
+        out = part if out is None else out.unionByName(part)
     return out
 
 

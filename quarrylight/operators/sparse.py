@@ -11,6 +11,8 @@ from ..session import BROADCAST_ROWS, bounded_count, broadcast_within, spill
 
 K1 = 1.2
 B = 0.75
+# Parts of a query's items that are ranked apart before the final ranking.
+TOP_PARTS = 16
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -50,6 +52,15 @@ def bm25_scores(
 
 
 def top_by_query(scores: DataFrame, top: int, item: str = "chunk_id") -> DataFrame:
-    """Rank by score, ties by id. The limit is applied per task before the shuffle."""
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), item)
-    return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    """Rank by score, ties by id, in two levels.
+
+    Both limits are applied per task before their shuffle. The first level ranks a query's items in
+    ``TOP_PARTS`` parts by hash, so no reduce key gets more than the tasks' best of one part; the second
+    ranks at most ``TOP_PARTS * top`` rows per query.
+    """
+    part = F.pmod(F.xxhash64(item), F.lit(TOP_PARTS))
+    order = [F.desc("score"), F.col(item)]
+    first = F.row_number().over(W.partitionBy("query_id", "_part").orderBy(*order))
+    best = scores.withColumn("_part", part).withColumn("_place", first).filter(F.col("_place") <= top)
+    last = F.row_number().over(W.partitionBy("query_id").orderBy(*order))
+    return best.drop("_part", "_place").withColumn("rank", last).filter(F.col("rank") <= top)

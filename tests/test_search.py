@@ -69,8 +69,7 @@ def test_bm25_golden(spark, stones):
 
 
 @pytest.mark.parametrize("limit", [4096, 2])
-def test_dense_batch_and_block_forms_agree(spark, limit, monkeypatch):
-    monkeypatch.setattr(dense, "BLOCK_ROWS", 64)
+def test_dense_batch_and_block_forms_agree(spark, limit):
     rng = np.random.default_rng(1)
     items = rng.normal(size=(300, 8)).round(1)
     items[::3] = items[0]  # a third of all vectors are copies
@@ -98,6 +97,10 @@ def test_dense_moments(spark):
     qs = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, vector array<float>")
     r = dense.dense_moments(vecs, qs).first()
     assert (r["mean"], r["sd"]) == (0.5, 0.5)
+    many = spark.createDataFrame([(f"q{i}", [float(i), 1.0]) for i in range(9)], "query_id string, vector array<float>")
+    whole = {r["query_id"]: (r["mean"], r["sd"]) for r in dense.dense_moments(vecs, many).collect()}
+    parts = {r["query_id"]: (r["mean"], r["sd"]) for r in dense.dense_moments(vecs, many, max_batch=2).collect()}
+    assert len(whole) == 9 and parts == whole
 
 
 def test_hybrid_search_and_hits(spark, stones):

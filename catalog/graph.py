@@ -153,11 +153,10 @@ def centroids_query(spark, folder):
 @query("community_sizes", """
 SELECT label AS community, count(*) AS size, max(count(*)) OVER () AS largest FROM embeddings GROUP BY 1""")
 def community_sizes(spark, folder):
-    sizes = read(spark, folder, "embeddings").groupBy(F.col("label").alias("community")).agg(
-        F.count("*").alias("size")
+    sizes = spill(
+        read(spark, folder, "embeddings").groupBy(F.col("label").alias("community")).agg(F.count("*").alias("size")), "sizes"
     )
-    top = sizes.agg(F.max("size").alias("largest")).withColumn("one", F.lit(1))
-    return sizes.withColumn("one", F.lit(1)).join(top, "one").drop("one")
+    return sizes.select("*", sizes.agg(F.max("size")).scalar().alias("largest"))
 
 
 SEEDS = LABEL_CENTROIDS + """,
@@ -252,15 +251,13 @@ def brand_world(spark, folder):
         member = read(spark, folder, "part").select(
             F.col("p_partkey").cast("string").alias("concept"), F.col("p_brand").alias("community")
         )
-        sizes = inc.groupBy("concept").agg(F.count("*").alias("freq"))
-        top = sizes.agg(F.max("freq").alias("top")).withColumn("one", F.lit(1))
+        sizes = spill(inc.groupBy("concept").agg(F.count("*").alias("freq")), "sizes")
+        top = sizes.agg(F.max("freq")).scalar()
         order = W.partitionBy("community").orderBy(F.desc("freq"), "concept")
         seeds = spill(
             sizes.join(member, "concept")
             .withColumn("rk", F.row_number().over(order)).filter("rk <= 3")
-            .withColumn("one", F.lit(1)).join(top, "one")
-            .select(F.col("community").alias("query_id"), "concept",
-                    F.round(F.col("freq") / F.col("top"), 6).alias("sim")),
+            .select(F.col("community").alias("query_id"), "concept", F.round(F.col("freq") / top, 6).alias("sim")),
             "seeds",
         )
         relevant = spill(brand_relevance(seeds, member), "relevant")
@@ -270,24 +267,11 @@ def brand_world(spark, folder):
 
 
 def brand_relevance(seeds, member):
-    """Own brand first, the others by name: the ranking rule with one seeded community.
-
-    Brands other than the query's own all score zero, so the five smallest names
-    and the own brand hold every answer.
-    """
-    low = member.select("community").distinct().orderBy("community").limit(5)
-    own = seeds.groupBy("query_id").agg(F.sum("sim").alias("s"))
-    pool = (
-        own.withColumn("one", F.lit(1)).join(F.broadcast(low.withColumn("one", F.lit(1))), "one")
-        .select("query_id", "community")
-        .unionByName(own.select("query_id", F.col("query_id").alias("community")))
-        .distinct()
-        .join(own, "query_id")
-    )
-    order = W.partitionBy("query_id").orderBy(
-        F.desc(F.when(F.col("query_id") == F.col("community"), F.col("s")).otherwise(F.lit(0.0))), "community"
-    )
-    return pool.withColumn("rk", F.row_number().over(order)).filter("rk <= 5").select("query_id", "community")
+    """Relevant brands by the ranking rule: centroids without direction, so all but the own brand tie at zero."""
+    flat = F.array(F.lit(0.0).cast("float"))
+    brands = member.select("community").distinct().withColumn("centroid", flat)
+    asked = seeds.select("query_id").distinct().withColumn("vector", flat)
+    return X.rank_communities(seeds, member, brands, asked).filter("relevant").select("query_id", "community")
 
 
 def brand_active(spark, folder):

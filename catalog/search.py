@@ -112,10 +112,7 @@ def index_summary(spark, folder):
     terms = ix.table("term_stats").agg(
         F.count("*").alias("n_terms"), F.sum("df").alias("n_postings")
     )
-    # Both sides are one row.
-    return ix.table("stats").withColumn("one", F.lit(1)).join(
-        terms.withColumn("one", F.lit(1)), "one"
-    ).drop("one")
+    return ix.table("stats").select("*", *[terms.select(c).scalar().alias(c) for c in terms.columns])
 
 
 @query("chunk_vectors", S.with_(S.CHUNK_INDEX, select="""

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import FeatureHasher, HashingTF, Normalizer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,9 +21,11 @@ ROUNDS = 3
 # A view hands a document to the other one if it is at least so sure of its class.
 SURE = 0.98
 KEEP = 0.5
-TEXT_BITS = 17
+TEXT_BITS = 16
 META_BITS = 12
 SEED = 5
+# Tasks that each step of a fit runs on; its rows are bounded by FIT_ROWS and POOL_ROWS.
+FIT_PARTS = 6
 # One labelled document in so many calibrates the views and is not fitted on.
 HELD_OUT = 4
 META_COLUMNS = ("source", "lang")
@@ -105,15 +108,30 @@ def _margin(scored: DataFrame, view: str) -> DataFrame:
 def _fit(rows: DataFrame, view: str) -> LogisticRegressionModel:
     return LogisticRegression(
         featuresCol=f"__q_{view}", labelCol="__q_y", rawPredictionCol="__q_raw", probabilityCol="__q_probability",
-        predictionCol="__q_prediction", maxIter=30, regParam=1e-4, standardization=view == "meta",
-    ).fit(rows)
+        predictionCol="__q_prediction", maxIter=30, tol=1e-4, regParam=1e-4, standardization=view == "meta",
+    ).fit(rows.coalesce(FIT_PARTS))
 
 
-def _scale(rows: DataFrame, columns: Sequence[str]) -> list[float]:
-    """Coefficients and intercept of a calibration by the held-out labels, with a light pull towards 0."""
-    packed = VectorAssembler(inputCols=list(columns), outputCol="__q_in").transform(rows)
-    fitted = LogisticRegression(featuresCol="__q_in", labelCol="__q_y", maxIter=50, regParam=1e-3).fit(packed)
-    return [*(float(c) for c in fitted.coefficients), float(fitted.intercept)]
+def _scale(margins: np.ndarray, good: np.ndarray, pull: float = 1e-3) -> list[float]:
+    """Coefficients and intercept of a calibration by held-out labels, with a light pull towards 0.
+
+    ``margins`` has a row per held-out document: numbers of a bounded sample, fitted on the driver by Newton steps.
+    """
+    inputs = np.column_stack([margins, np.ones(len(margins))])
+    weights = np.zeros(inputs.shape[1])
+    ridge = pull * np.diag([*np.ones(inputs.shape[1] - 1), 0.0])
+    loss = lambda w: np.logaddexp(0, -np.where(good, 1, -1) * (inputs @ w)).mean() + 0.5 * w @ ridge @ w
+    for _ in range(50):
+        chance = 1 / (1 + np.exp(-np.clip(inputs @ weights, -500, 500)))
+        slope = inputs.T @ (chance - good) / len(inputs) + ridge @ weights
+        bend = (inputs.T * (chance * (1 - chance) + 1e-9)) @ inputs / len(inputs) + ridge
+        step = np.linalg.solve(bend, slope)
+        while np.abs(step).max() > 1e-9 and loss(weights - step) > loss(weights):
+            step = step / 2
+        weights = weights - step
+        if np.abs(step).max() < 1e-9:
+            break
+    return [float(w) for w in weights]
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, fit_rows: int, pool_rows: int) -> DataFrame:
@@ -165,15 +183,16 @@ def co_train(
     extra = {"text": known.limit(0), "meta": known.limit(0)}
     for turn in range(rounds + 1):
         model = CoTrained(rate, *(_fit(known.union(extra[v]), v) for v in ("text", "meta")))
-        scored = model.score(proof)
-        model.text_scale = tuple(_scale(scored, ["__q_text_margin"]))
-        model.meta_scale = tuple(_scale(scored, ["__q_meta_margin"]))
+        held = model.score(proof).select("__q_text_margin", "__q_meta_margin", "__q_y").collect()
+        margins, good = np.array([r[:2] for r in held]), np.array([r[2] == 1 for r in held])
+        model.text_scale, model.meta_scale = (tuple(_scale(margins[:, i : i + 1], good)) for i in (0, 1))
         if turn < rounds:
             labelled = model.score(pool)
             for view, other in (("text", "meta"), ("meta", "text")):
                 p = F.col(f"__q_by_{view}")
                 extra[other] = labelled.where((p >= sure) | (p <= 1 - sure)).withColumn("__q_y", F.round(p)).select(*known.columns)
-    model.weights = tuple(_scale(model.score(proof), ["__q_text_logit", "__q_meta_logit"]))
+    logits = np.column_stack([margins[:, i] * a + b for i, (a, b) in enumerate((model.text_scale, model.meta_scale))])
+    model.weights = tuple(_scale(logits, good))
     return model
 
 

@@ -10,7 +10,7 @@ from quarrylight.operators import concepts as C
 from quarrylight.operators import expansion as X
 from quarrylight.operators.centroids import centroids
 from quarrylight.operators.communities import detect_communities
-from quarrylight.plans.graph import build_graph, graph_search
+from quarrylight.plans.graph import build_graph, graph_hits, graph_search
 from quarrylight.recipe import GraphSettings
 from quarrylight.session import scratch_path, spill, spread
 
@@ -363,6 +363,12 @@ def graph_search_query(spark, folder):
     return graph_search(graph(spark, folder), batch, top_k=8, index=ix, chunks=ix.chunks).ranked
 
 
+@query("graph_hits")
+def graph_hits_query(spark, folder):
+    found = graph_hits(graph(spark, folder), benchmark_batch(spark, folder), index(spark, folder), top_k=8)
+    return found.select("query_id", "rank", "score", "chunk.*", F.col("graph.n_candidates").alias("n_candidates"))
+
+
 @query("four_arms")
 def four_arms(spark, folder):
     """Mean recall of hybrid, multi-query, graph and fused retrieval on global probes."""

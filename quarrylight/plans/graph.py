@@ -24,7 +24,7 @@ from ..recipe import GraphSettings, SearchSettings
 from ..session import broadcast_within, cut_lineage, spill
 from ..sources.products import path_exists
 from .index import CorpusIndex
-from .search import QueryBatch, hybrid_search
+from .search import QueryBatch, hits, hybrid_search
 
 CODE_VERSION = "graph-1.0"
 
@@ -87,7 +87,7 @@ def build_graph(chunks: DataFrame, path: str, settings: GraphSettings | None = N
     ).write.mode("overwrite").parquet(f"{path}/concept_chunks")
     centroids(concepts, "community", "vector").write.mode("overwrite").parquet(f"{path}/communities")
 
-    n_chunks = chunks.filter((F.col("kind") == "text") & (F.length(F.trim("text")) > 0)).count()
+    n_chunks = counted_chunks(chunks)
     sizes = concepts.groupBy("community").count().agg(
         F.count("*").alias("n"), F.coalesce(F.max("count"), F.lit(0)).alias("largest")
     ).first()
@@ -112,6 +112,11 @@ def build_graph(chunks: DataFrame, path: str, settings: GraphSettings | None = N
     return graph
 
 
+def counted_chunks(chunks: DataFrame) -> int:
+    """Text chunks that are not blank: the number a graph is built on and compared with later."""
+    return chunks.filter((F.col("kind") == "text") & (F.length(F.trim("text")) > 0)).count()
+
+
 @dataclass(frozen=True)
 class GraphResult:
     ranked: DataFrame
@@ -153,7 +158,7 @@ def graph_search(
     active = expand(seeds, graph.table("edges"), membership, relevant, incidence, g)
     found = accumulate(active, incidence, g.multi_hit_w)
     if chunks is not None:
-        current = chunks.filter(F.col("kind") == "text").count()
+        current = counted_chunks(chunks)
         if current != graph.meta["n_chunks"]:
             warnings.warn(
                 f"stale graph: built on {graph.meta['n_chunks']} chunks, the corpus has {current}"
@@ -169,6 +174,28 @@ def graph_search(
     return GraphResult(ranked, facts)
 
 
+FACTS = ("n_seeds", "n_active_concepts", "n_communities_searched", "n_candidates")
+
+
+def graph_hits(
+    graph: ConceptGraph | None, batch: QueryBatch, index: CorpusIndex, settings: GraphSettings | None = None,
+    top_k: int | None = None, search: SearchSettings | None = None,
+) -> DataFrame:
+    """Hits of a graph search with payload and citation; the first hit of a query carries its ``graph`` facts.
+
+    Chunks that are no longer in the corpus are skipped before the cut, so they use up no place.
+    """
+    found = graph_search(graph, batch, settings, top_k, index, search, index.chunks)
+    width = top_k or (search or SearchSettings()).top_k
+    shown = hits(found.ranked, index.chunks, batch.rows * width)
+    facts = found.facts.select("query_id", F.struct(*FACTS).alias("_facts"))
+    return (
+        shown.join(broadcast_within(facts, batch.rows), "query_id", "left")
+        .withColumn("graph", F.when(F.col("rank") == 1, F.col("_facts")))
+        .drop("_facts")
+    )
+
+
 def _fallback(batch: QueryBatch, g: GraphSettings, k: int, index: CorpusIndex | None,
               search: SearchSettings) -> GraphResult:
     empty = batch.frame.select(
@@ -177,7 +204,6 @@ def _fallback(batch: QueryBatch, g: GraphSettings, k: int, index: CorpusIndex |
     ranked = hybrid_search(index, batch, search, top_k=k) if g.fallback_hybrid and index else empty
     facts = batch.frame.select(
         "query_id",
-        *[F.lit(0).cast("long").alias(n) for n in
-          ("n_seeds", "n_active_concepts", "n_communities_searched", "n_candidates")],
+        *[F.lit(0).cast("long").alias(n) for n in FACTS],
     )
     return GraphResult(ranked, facts)

@@ -7,7 +7,8 @@ from quarrylight.operators import concepts as C
 from quarrylight.operators import expansion as X
 from quarrylight.operators.communities import detect_communities, modularity
 from quarrylight.operators.ranking import distributed_rank
-from quarrylight.plans.graph import build_graph, graph_search, open_graph
+from quarrylight.plans.graph import build_graph, graph_hits, graph_search, open_graph
+from quarrylight.plans.index import build_index
 from quarrylight.plans.search import QueryBatch
 from quarrylight.recipe import GraphSettings
 from quarrylight.session import scratch_path
@@ -182,6 +183,20 @@ def test_build_and_search_small_corpus(spark, corpus):
     assert key(again) == key(graph)
 
 
+def test_graph_hits_carry_payload_and_facts(spark, corpus):
+    g = GraphSettings(min_concept_freq=1, min_edge_weight=1, seed_sim_min=0.2)
+    graph = build_graph(corpus, scratch_path(spark, "graph"), g)
+    batch = QueryBatch.bounded(spark.createDataFrame([("q", "calibration slope")], "query_id string, question string"), 1)
+    whole = graph_search(graph, batch, g, top_k=9).ranked.orderBy("rank").collect()
+    gone = whole[0]["chunk_id"]
+    index = build_index(corpus.filter(F.col("chunk_id") != gone), scratch_path(spark, "index"))
+    rows = graph_hits(graph, batch, index, g, top_k=len(whole) - 1).orderBy("rank").collect()
+    assert [r["chunk"]["chunk_id"] for r in rows] == [r["chunk_id"] for r in whole[1:]]
+    assert [r["rank"] for r in rows] == list(range(1, len(whole)))
+    assert rows[0]["graph"]["n_candidates"] >= len(rows) and all(r["graph"] is None for r in rows[1:])
+    assert rows[0]["citation"]["doc_id"] == rows[0]["chunk"]["doc_id"] and rows[0]["chunk"]["text"]
+
+
 def test_missing_graph_gives_empty(spark):
     batch = QueryBatch.bounded(spark.createDataFrame([("q", "a")], "query_id string, question string"), 1)
     assert graph_search(None, batch).ranked.count() == 0

@@ -21,7 +21,7 @@ ROUNDS = 3
 # A view hands a document to the other one if it is at least so sure of its class.
 SURE = 0.98
 KEEP = 0.5
-TEXT_BITS = 16
+TEXT_BITS = 14
 META_BITS = 12
 SEED = 5
 # Tasks that each step of a fit runs on; its rows are bounded by FIT_ROWS and POOL_ROWS.

@@ -16,7 +16,7 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every line of all documents with the line that stays for it."""
-    return lines.fuzzy_lines(table(spark, folder, "documents")).drop("code")
+    return lines.fuzzy_lines(table(spark, folder, "documents"), every=True).drop("code")
 
 
 def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:

@@ -43,7 +43,7 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that lose sentences to a span standing elsewhere before."""
-    rest = substrings.remove_repeats(table(spark, folder, "documents")).where("removed_sentences > 0")
+    rest = substrings.remove_repeats(table(spark, folder, "documents"), ends=True).where("removed_sentences > 0")
     return rest.select(
         "doc_id", "removed_sentences", "removed_words", F.length("text").cast("long").alias("kept_chars"),
         F.md5("text").alias("kept_md5"), "source_ids",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -17,12 +18,34 @@ from ..session import ship_package, spill
 # A span is the shortest run of at least so many sentences that has at least so many words.
 SENTENCES = 2
 WORDS = 20
-# A longer sentence counts as several of this many words.
+# A longer sentence counts as several of at most this many words, cut where its last words say so.
 SENTENCE_WORDS = 20
-
-# Sentences end at . ! ? before white space, at an ideographic full stop, and at line breaks.
-_END = re.compile(rb"[.!?]+[\x20\x09-\x0d]+|\xe3\x80\x82[\x20\x09-\x0d]*|[\x0a\x0d][\x20\x09-\x0d]*")
-_WORD = re.compile(rb"[^\x20\x09-\x0d]+[\x20\x09-\x0d]*")
+# A long sentence is cut behind so many words if their hash is a multiple of the second number.
+CUT_WORDS, CUT_RATE = 3, 4
+
+# Sentences end at . ! ? before white space, at an ideographic full stop or wide ! ?, and at line breaks.
+_END = re.compile(
+    rb"[.!?]+[\x20\x09-\x0d]+|(?:\xe3\x80\x82|\xef\xbc[\x81\x9f])+[\x20\x09-\x0d]*|[\x0a\x0d][\x20\x09-\x0d]*"
+)
+# Signs of scripts without spaces (Han, kana, Thai, Lao, Burmese, Khmer) are words of their own.
+_SIGN = (
+    rb"(?:\xe3[\x81-\x83\x90-\xbf][\x80-\xbf]|[\xe4-\xe9][\x80-\xbf]{2}|\xf0[\xa0-\xb3][\x80-\xbf]{2}"
+    rb"|\xe0[\xb8-\xbb][\x80-\xbf]|\xe1[\x80-\x82\x9e\x9f][\x80-\xbf])"
+)
+_SPACELESS = re.compile(_SIGN)
+_WORD = re.compile(rb"(?:" + _SIGN + rb"|(?:(?!" + _SIGN + rb")[^\x20\x09-\x0d])+)[\x20\x09-\x0d]*")
+
+
+def _cuts(words: list[bytes]) -> list[int]:
+    """Starts of the parts of a long sentence, the same in a passage whatever stands before it."""
+    cuts = [0]
+    for end in range(1, len(words)):
+        last = words[max(0, end - CUT_WORDS) : end]
+        if end - cuts[-1] == SENTENCE_WORDS or (
+            len(last) == CUT_WORDS and xxhash.xxh64_intdigest(b" ".join(last)) % CUT_RATE == 0
+        ):
+            cuts.append(end)
+    return cuts
 
 
 def sentences(data: bytes) -> tuple[list[int], list[int], list[bytes]]:
@@ -32,15 +55,18 @@ def sentences(data: bytes) -> tuple[list[int], list[int], list[bytes]]:
     """
     starts, counts, contents = [], [], []
     at = 0
+    spaceless = _SPACELESS.search(data) is not None
     ends = [m.end() for m in _END.finditer(data)]
     if not ends or ends[-1] < len(data):
         ends.append(len(data))
     for end in ends:
-        words = data[at:end].lower().split()
+        low = data[at:end].lower()
+        words = [w.rstrip() for w in _WORD.findall(low)] if spaceless else low.split()
         if len(words) > SENTENCE_WORDS:
             places = [at + m.start() for m in _WORD.finditer(data[at:end])]
-            for i in range(0, len(words), SENTENCE_WORDS):
-                part = words[i : i + SENTENCE_WORDS]
+            cuts = _cuts(words)
+            for i, stop in zip(cuts, [*cuts[1:], len(words)]):
+                part = words[i:stop]
                 starts.append(places[i])
                 counts.append(len(part))
                 contents.append(b" ".join(part))
@@ -65,7 +91,26 @@ def spans(counts: list[int], contents: list[bytes]) -> Iterator[tuple[int, int,
         words -= counts[start]
 
 
-def _spans_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def ending_spans(counts: list[int], contents: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+    """As :func:`spans`, and also the shortest span that ends at each sentence; each span once.
+
+    Together they cover every sentence that any run of the least size within a passage covers.
+    """
+    taken = set()
+    for first, stop, digest in spans(counts, contents):
+        taken.add((first, stop))
+        yield first, stop, digest
+    first, words = 0, 0
+    for stop in range(1, len(counts) + 1):
+        words += counts[stop - 1]
+        while stop - first > SENTENCES and words - counts[first] >= WORDS:
+            words -= counts[first]
+            first += 1
+        if stop - first >= SENTENCES and words >= WORDS and (first, stop) not in taken:
+            yield first, stop, xxhash.xxh128_digest(b" ".join(contents[first:stop]))
+
+
+def _spans_of_rows(batches: Iterator[pa.RecordBatch], of=spans) -> Iterator[pa.RecordBatch]:
     """Rows (id, text hash, text) to rows (id, text hash, first, end, h1, h2)."""
     names = ["id", "code", "first", "stop", "h1", "h2"]
 
@@ -79,7 +124,7 @@ def _spans_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         rows, firsts, stops, digests = [], [], [], []
         for n, text in enumerate(batch.column(2)):
             _, counts, contents = sentences(text.as_py() or b"")
-            for first, stop, digest in spans(counts, contents):
+            for first, stop, digest in of(counts, contents):
                 rows.append(n)
                 firsts.append(first)
                 stops.append(stop)
@@ -91,13 +136,14 @@ def _spans_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield batch_of(batch, rows, firsts, stops, digests)
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ends: bool = False) -> DataFrame:
     """(id, ``code``, ``first``, ``stop``, ``source_id``) of every span that stands elsewhere before.
 
     ``code`` is the hash of the text, ``source_id`` the document of the first place. Places are ordered by
     id (null last), text hash and sentence, over the whole table. The first place and the
     number of places of a span come from one aggregate, combined before its shuffle; the
     places then join it, which Spark can split where one span stands in very many documents.
+    With ``ends`` the shortest spans that end at each sentence count too.
     """
     ship_package(docs.sparkSession)
     texts = docs.select(
@@ -105,7 +151,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     kind = texts.schema["id"].dataType.simpleString()
     places = spill(
-        texts.mapInArrow(_spans_of_rows, f"id {kind}, code long, first int, stop int, h1 long, h2 long"), "spans"
+        texts.mapInArrow(partial(_spans_of_rows, of=ending_spans if ends else spans), f"id {kind}, code long, first int, stop int, h1 long, h2 long"), "spans"
     )
     # Most spans stand once. Half of the digest tells which may stand twice; only those go on.
     likely = places.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1")
@@ -141,7 +187,7 @@ def _without(data: bytes, firsts, stops) -> tuple[bytes, int]:
     return b"".join([*kept, data[at:]]), words
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ends: bool = False) -> DataFrame:
     """``docs`` with the sentences removed that a span standing elsewhere before covers.
 
     All columns stay, ``text_col`` holds the rest of the text; three columns follow:
@@ -149,9 +195,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     span stands first). Columns of these names in ``docs`` are replaced. Null texts stay null, empty
     texts and texts without a span stay as they are. Rows with equal id and text are one document to the
     spans and get the same result; equal texts under several ids keep one of them, the
-    smallest id (null last). An empty table gives an empty result.
+    smallest id (null last). An empty table gives an empty result. Without ``ends`` only the shortest span
+    from each sentence is looked at, which leaves short last sentences of a passage.
     """
-    found = repeated_spans(docs, id_col, text_col)
+    found = repeated_spans(docs, id_col, text_col, ends)
     spots = found.groupBy("id", "code").agg(
         F.collect_set(F.struct("first", "stop")).alias("__spots"), F.collect_set("source_id").alias("__sources")
     ).withColumnsRenamed({"id": "__id", "code": "__code"})

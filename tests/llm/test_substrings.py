@@ -94,3 +94,40 @@ def test_digest_is_of_content_alone():
     a = substrings.sentences(b"One  two.\nThree FOUR.")
     b = substrings.sentences(b"one two. three four.")
     assert a[2] == b[2] and hashlib.md5(b" ".join(a[2])).digest() == hashlib.md5(b"one two. three four.").digest()
+
+
+def covered(a, b):
+    """Sentence contents of ``b`` that spans of ``a`` cover, and all of ``b``."""
+    held = {d for *_, d in substrings.ending_spans(*substrings.sentences(a.encode())[1:])}
+    _, counts, contents = substrings.sentences(b.encode())
+    gone = {i for first, stop, d in substrings.ending_spans(counts, contents) if d in held for i in range(first, stop)}
+    return sum(counts[i] for i in gone), b" ".join(contents[i] for i in sorted(gone))
+
+
+def test_unpunctuated_passages_at_any_offset_are_found():
+    rng = random.Random(3)
+    words = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    found = []
+    for _ in range(200):
+        passage = words(50)
+        ahead, behind = rng.sample(range(1, 60), 2)
+        n, text = covered(words(ahead) + " " + passage + " " + words(20), words(behind) + " " + passage + " " + words(20))
+        assert text.decode() in passage
+        found.append(n)
+    assert sum(n >= 20 for n in found) >= 0.97 * len(found) and sum(found) / len(found) >= 35
+
+
+def test_every_sentence_of_a_passage_is_covered(spark):
+    rng = random.Random(8)
+    passage = " ".join(" ".join(f"w{rng.randrange(5000)}" for _ in range(n)) + "." for n in (15, 10, 5))
+    docs = [(1, "One two three. " + passage), (2, "Four five six. " + passage + " Last.")]
+    got = {r["doc_id"]: r for r in substrings.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), ends=True).collect()}
+    assert (got[1]["removed_words"], got[2]["removed_words"]) == (0, 30) and got[2]["text"] == "Four five six. Last."
+
+
+def test_scripts_without_spaces_count_signs():
+    rng = random.Random(9)
+    signs = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(n))
+    passage = signs(12) + "\u3002" + signs(14) + "\u3002"
+    n, text = covered(signs(7) + "\u3002" + passage, signs(9) + "\uff01" + passage + signs(5))
+    assert n == 28 and text.decode().replace(" ", "") == passage

@@ -20,6 +20,8 @@ SHINGLE = 5
 CONTAINMENT = 0.8
 # Chance that the sketches of an item and a text that holds it share no value.
 MISS = 1e-6
+# Items of fewer shingles are looked up by all shingles of a text.
+SHORT = 16
 # Bytes of item texts that are broadcast together.
 ITEM_BYTES = 8 << 20
 
@@ -55,15 +57,25 @@ def text_hashes(data: bytes | None, size: int) -> np.ndarray:
 def bins_for(items: int, texts: int, containment: float, miss: float = MISS) -> int:
     """MinHash bins by which items of at least ``items`` shingles are found in texts of at most ``texts``.
 
-    The containment bound becomes a Jaccard bound by the largest size of the partition;
-    one bin agrees with at least that chance.
+    A shared shingle counts in its bin only if no other shingle of item and text is lower there; the item is
+    missed if each of its shared shingles loses its bin. The bins are raised until that chance is within ``miss``.
     """
-    jaccard = min(1.0, containment * items / (texts + items - containment * items))
-    return 1 if jaccard == 1 else math.ceil(math.log(miss) / math.log1p(-jaccard))
-
-
-def sketch(hashes: np.ndarray, bins: int) -> np.ndarray:
-    """The least hash in each of ``bins`` equal ranges: a MinHash signature of one permutation."""
+    shared = max(1, math.ceil(containment * items - 1e-9))
+    union = texts + items - shared
+    if union <= shared:
+        return 1
+    bins = 1
+    while True:
+        wins = bins / union * -math.expm1(union * math.log1p(-1 / bins)) if bins > 1 else 1 / union
+        if wins >= 1 or shared * math.log1p(-wins) <= math.log(miss):
+            return bins
+        bins += max(1, bins >> 4)
+
+
+def sketch(hashes: np.ndarray, bins: int | None) -> np.ndarray:
+    """The least hash in each of ``bins`` equal ranges: a MinHash signature of one permutation; all hashes without ``bins``."""
+    if bins is None:
+        return hashes
     at = ((hashes >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)
     return hashes[np.concatenate([[True], at[1:] != at[:-1]])] if len(hashes) else hashes
 
@@ -90,7 +102,7 @@ class ItemBlock:
         if partition not in self.tables:
             out = []
             for least, of, hashes in self.classes:
-                bins = bins_for(least, 1 << partition, self.containment)
+                bins = None if least < SHORT else bins_for(least, 1 << partition, self.containment)
                 held = [sketch(h, bins) for h in hashes]
                 owner = np.repeat(np.array(of), [len(h) for h in held])
                 values = np.concatenate(held)
@@ -154,8 +166,8 @@ def contained_items(
     An item counts as contained if at least ``containment`` of its distinct shingles
     (``size`` words; the whole sequence of a shorter text) stand in the document. Documents
     fall into partitions by their number of shingles, each with as many MinHash bins as its
-    largest size needs, so short items are found in texts of any length; pairs that share a
-    sketch value are then compared shingle by shingle. Items go to the tasks in broadcast
+    largest size needs; items of fewer than ``SHORT`` shingles are looked up by all shingles of the
+    text, so they are found in texts of any length. Pairs that share a value are then compared shingle by shingle. Items go to the tasks in broadcast
     blocks of ``ITEM_BYTES``, one pass over the documents per block; documents are not
     shuffled. Texts and items that are null or have no words match nothing. Repeated rows
     and ties give a row each. Columns beside the named ones are ignored. Either table may

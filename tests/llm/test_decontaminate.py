@@ -79,3 +79,25 @@ def test_empty_tables(spark):
 def test_bins_grow_with_the_partition():
     sizes = [decontaminate.bins_for(30, 1 << k, 0.8) for k in range(5, 20)]
     assert sizes == sorted(sizes) and sizes[-1] > 100 * sizes[0]
+
+
+def test_short_items_are_never_missed():
+    rng = random.Random(2)
+    text = [b"v%d" % rng.randrange(10**9) for _ in range(1028)]
+    items = [(n, b" ".join(text[n : n + 5 + n % 2])) for n in range(1000)]
+    block = decontaminate.ItemBlock(items, 5, 0.8)
+    assert [i for i, _ in block.matches(b" ".join(text))] == list(range(1000))
+
+
+def test_bins_keep_the_miss_of_longer_items():
+    rng = random.Random(4)
+    for size in (16, 17, 40):
+        bins = decontaminate.bins_for(size, 1024, 0.8)
+        shared, missed = -(-size * 8 // 10), 0
+        for _ in range(3000):
+            draw = lambda n: decontaminate.np.array([rng.getrandbits(64) for _ in range(n)], decontaminate.np.uint64)
+            both = draw(shared)
+            item = decontaminate.sketch(decontaminate.np.unique(decontaminate.np.append(both, draw(size - shared))), bins)
+            text = decontaminate.sketch(decontaminate.np.unique(decontaminate.np.append(both, draw(1024 - shared))), bins)
+            missed += not set(item.tolist()) & set(text.tolist())
+        assert missed == 0

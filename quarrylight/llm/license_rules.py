@@ -135,7 +135,7 @@ def _named():
         ("osl", "open", "open software licen[sc]e", ("1.0", "2.0", "2.1", "3.0")),
         ("afl", "academic", "academic free licen[sc]e", ("1.1", "1.2", "2.0", "2.1", "3.0")),
         ("artistic", "artistic", "artistic licen[sc]e", ("1.0", "2.0")),
-        ("ofl", "ofl", "(?:sil )?(?:open font licen[sc]e|ofl)", ("1.0", "1.1")),
+        ("ofl", "ofl", "(?:sil )?ofl", ("1.0", "1.1")),
         ("ofl", "font", "(?:sil )?open font licen[sc]e", ("1.0", "1.1")),
         ("odbl", "odbl", "odbl", ("1.0",)),
         ("odbl", "database", "open database licen[sc]e", ("1.0",)),
@@ -158,13 +158,15 @@ def _named():
         ("npl", "netscape", "netscape public licen[sc]e", ("1.0", "1.1")),
         ("spl", "sun", "sun public licen[sc]e", ("1.0",)),
         ("ipl", "ibm", "ibm public licen[sc]e", ("1.0",)),
-        ("qpl", "qpl", "q public licen[sc]e|qpl", ("1.0",)),
+        ("qpl", "q public", "q public licen[sc]e", ("1.0",)),
+        ("qpl", "qpl", "qpl", ("1.0",)),
         ("rpl", "reciprocal", "reciprocal public licen[sc]e", ("1.1", "1.5")),
         ("sspl", "server", "server side public licen[sc]e", ("1.0",)),
         ("busl", "business", "business source licen[sc]e", ("1.1",)),
         ("elastic", "elastic", "elastic licen[sc]e", ("1.0", "2.0")),
         ("openrail", "rail", "open rail(?: m)?(?: licen[sc]e)?", ("1.0",)),
-        ("etalab", "etalab", "(?:etalab )?licence ouverte(?: etalab)?|etalab", ("1.0", "2.0")),
+        ("etalab", "ouverte", "(?:etalab )?licence ouverte(?: etalab)?", ("1.0", "2.0")),
+        ("etalab", "etalab", "etalab", ("1.0", "2.0")),
         ("ogl-uk", "government", "open government licen[sc]e", ("1.0", "2.0", "3.0")),
     )
     for label, keyword, name, versions in families:
@@ -194,7 +196,8 @@ def _named():
         ("unknown-license", "licensed", "(?:is |are )?licensed under(?: the)?(?: terms of)?(?: the)?(?: [^ ]+){1,4} licen[sc]e"),
         ("unknown-license", "terms", "subject to the terms of (?:the|this) licen[sc]e"),
         ("unknown-license", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)?[0-9]{2})?"),
-        ("unknown-license", "license", "see (?:the )?(?:file )?licen[sc]e(?: txt| md| file)? for(?: more)? (?:details|information)"),
+        ("unknown-license", "license", "see (?:the )?(?:file )?license(?: txt| md| file)? for(?: more)? (?:details|information)"),
+        ("unknown-license", "licence", "see (?:the )?(?:file )?licence(?: txt| md| file)? for(?: more)? (?:details|information)"),
     )
     for label, keyword, pattern in hints:
         yield label, keyword, pattern, HINT

@@ -1,4 +1,5 @@
 import re
+from re import _parser
 
 import pytest
 
@@ -68,3 +69,47 @@ def test_only_dataframe_functions(spark):
 ])
 def test_labels_of_the_rules(spark, text, label):
     assert label in licenses.scan(spark.createDataFrame([(1, text, "", 0)], SCHEMA)).first()["labels"].split(",")
+
+
+def samples(tree):
+    """Texts of every alternative of a parsed pattern; of a class each of its first signs."""
+    out = [""]
+    for kind, value in tree:
+        kind = str(kind)
+        if kind == "LITERAL":
+            new = [chr(value)]
+        elif kind == "NOT_LITERAL":
+            new = ["q"]
+        elif kind == "IN":
+            new = [chr(v if str(k) == "LITERAL" else v[0]) for k, v in value if str(k) in ("LITERAL", "RANGE")] or ["q"]
+        elif kind == "SUBPATTERN":
+            new = samples(value[3])
+        elif kind == "BRANCH":
+            new = [x for branch in value[1] for x in samples(branch)]
+        else:
+            assert kind == "MAX_REPEAT", kind
+            low, high, inner = value
+            new = [x * n for n in {low, max(low, 1)} for x in samples(inner)]
+        out = [a + b for a in out for b in dict.fromkeys(new)]
+    return out
+
+
+def test_every_alternative_holds_its_keyword():
+    texts = {}
+    for rule in rules():
+        for text in samples(_parser.parse(rule.pattern)):
+            assert re.fullmatch(rule.pattern, text), (rule, text)
+            assert rule.keyword in text, (rule, text)
+            texts.setdefault(rule.number, text)
+    assert len(texts) == len(rules())
+
+
+SPLIT = [
+    ("Q Public License 1.0", "qpl-1.0"), ("Q Public Licence", "qpl"), ("QPL 1.0", "qpl-1.0"), ("Licence Ouverte 2.0", "etalab-2.0"),
+    ("Licence Ouverte", "etalab"), ("Etalab 2.0", "etalab-2.0"), ("see the licence for details", "unknown-license"),
+]
+
+
+def test_labels_of_split_rules(spark):
+    got = licenses.scan(spark.createDataFrame([(n, text, "", 0) for n, (text, _) in enumerate(SPLIT)], SCHEMA)).collect()
+    assert {r["doc_id"]: SPLIT[r["doc_id"]][1] in r["labels"].split(",") for r in got} == dict.fromkeys(range(len(SPLIT)), True)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.corpus import table
-from . import decontaminate, licenses, lines, mixing, quality, simhash, substrings, token_shards, vectors, warc
+from . import bpe, conversations, decontaminate, licenses, lines, merkle, mixing, quality, simhash, substrings, token_shards, vectors, warc
 
 
 def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,6 +69,21 @@ def op10_training_order(spark: SparkSession, folder: str) -> DataFrame:
     return token_shards.training_order(table(spark, folder, "documents"))
 
 
+def op11_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts and digests of all documents, encoded and decoded again."""
+    return bpe.round_trip(table(spark, folder, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults and cheapest repairs of all conversations after damage."""
+    return conversations.repair_report(conversations.damaged(table(spark, folder, "conversations")))
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Proofs of all documents, every fifth one folded from a tampered text."""
+    return merkle.tampered_proofs(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_line_dedup": op2_line_dedup,
@@ -80,4 +95,7 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_quality": op9_quality,
     "op10_training_order": op10_training_order,
+    "op11_bpe": op11_bpe,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }

@@ -408,7 +408,7 @@ def covering_chunks(ix, bench):
     sizes = terms.groupBy("query_id").agg(F.count("*").alias("words")).filter(F.col("words") >= 3)
     return (
         terms.join(sizes, "query_id")
-        .join(ix.table("postings").select("term", "chunk_id"), "term")
+        .join(ix.postings.select("term", "chunk_id"), "term")
         .groupBy("query_id", "chunk_id")
         .agg(F.count("*").alias("shared"), F.max("words").alias("words"))
         .filter(F.col("shared") == F.col("words"))

@@ -100,7 +100,7 @@ def doc_freq(spark, folder):
 @query("postings", S.with_(S.CHUNK_INDEX, select="""
 SELECT term, chunk_id, n::INTEGER AS tf, dl::INTEGER AS dl FROM ctf JOIN dl USING (chunk_id)"""))
 def postings(spark, folder):
-    return index(spark, folder).table("postings").select("term", "chunk_id", "tf", "dl")
+    return index(spark, folder).postings
 
 
 @query("index_summary", S.with_(S.CHUNK_INDEX, select="""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -23,10 +23,16 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
+def inverse_frequency(df: Column, n_chunks: int) -> Column:
+    return F.log(F.lit(1.0) + (F.lit(float(n_chunks)) - df + 0.5) / (df + 0.5))
+
+
 def bm25_scores(
     terms: DataFrame, postings: DataFrame, term_stats: DataFrame, n_chunks: int, avg_len: float
 ) -> DataFrame:
-    """Rows ``(query_id, chunk_id, score)`` for every chunk that shares a term.
+    """Rows ``(query_id, chunk_id, score)`` for every chunk that shares a term; no block is skipped.
+
+    For the best few chunks use :func:`quarrylight.operators.blocks.pruned_topk`.
 
     The weighted query terms are written and counted first. Within the broadcast
     limit they go to the postings, which then do not move; beyond it the join
@@ -37,7 +43,7 @@ def bm25_scores(
         terms.join(term_stats, "term").select(
             "query_id",
             "term",
-            F.log(F.lit(1.0) + (F.lit(float(n_chunks)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),
+            inverse_frequency(F.col("df"), n_chunks).alias("idf"),
         ),
         "query_terms",
     )

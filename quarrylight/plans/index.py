@@ -5,8 +5,9 @@ The index is a folder of Parquet tables that is rebuilt as a whole:
 ==============  =====================================================================
 ``chunks``      the chunk relation, text made indexable
 ``terms``       one row per chunk: its counted search words, length, top keywords
-``postings``    ``(term, chunk_id, tf, dl)``, clustered and sorted by term
-``term_stats``  ``(term, df)``
+``blocks``      postings in blocks of one term, best impacts first, each with its
+                largest impact
+``term_stats``  ``(term, df, peak)``; ``peak`` is the term's largest impact
 ``vectors``     ``(chunk_id, vector)``
 ``stats``       one row of corpus totals
 ==============  =====================================================================
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import with_keywords, with_term_counts
+from ..operators.blocks import posting_blocks, postings_of
 from ..operators.embed import DEFAULT_MODEL, embed
 
 KEYWORDS_KEPT = 12
@@ -41,6 +43,16 @@ class CorpusIndex:
     def stats(self) -> Row:
         return self.table("stats").first()
 
+    @property
+    def average_length(self) -> float:
+        """Words per chunk; 1 where there are none."""
+        return self.stats["n_tokens"] / self.stats["n_chunks"] if self.stats and self.stats["n_tokens"] else 1.0
+
+    @property
+    def postings(self) -> DataFrame:
+        """Rows ``(term, chunk_id, tf, dl)``."""
+        return postings_of(self.table("blocks"))
+
     @property
     def chunks(self) -> DataFrame:
         return self.table("chunks")
@@ -92,26 +104,23 @@ def build_index(chunks: DataFrame, path: str, model: str = DEFAULT_MODEL) -> Cor
     ).write.mode("overwrite").parquet(f"{path}/terms")
 
     terms = index.table("terms")
-    (
+    terms.agg(
+        F.count("*").alias("n_chunks"),
+        F.count_distinct("doc_id").alias("n_docs"),
+        F.coalesce(F.sum("dl"), F.lit(0)).alias("n_tokens"),
+    ).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    postings = (
         terms.select("chunk_id", "dl", F.explode_outer("terms").alias("t"))
         .filter(F.col("t").isNotNull())
         .select("t.term", "chunk_id", F.col("t.n").alias("tf"), "dl")
-        .hint("rebalance", "term")
-        .sortWithinPartitions("term", "chunk_id")
-        .write.mode("overwrite")
-        .parquet(f"{path}/postings")
     )
-    index.table("postings").groupBy("term").agg(F.count("*").alias("df")).write.mode(
-        "overwrite"
-    ).parquet(f"{path}/term_stats")
+    posting_blocks(postings, index.average_length).write.mode("overwrite").parquet(f"{path}/blocks")
+    index.table("blocks").groupBy("term").agg(
+        F.sum("size").alias("df"), F.max("top").alias("peak")
+    ).write.mode("overwrite").parquet(f"{path}/term_stats")
     embed(stored.select("chunk_id", "text"), "text", model).select("chunk_id", "vector").write.mode(
         "overwrite"
     ).parquet(f"{path}/vectors")
-    terms.agg(
-        F.count("*").alias("n_chunks"),
-        F.count_distinct("doc_id").alias("n_docs"),
-        F.coalesce(F.sum("dl"), F.lit(0)).alias("n_tokens"),
-    ).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
     return index
 
 

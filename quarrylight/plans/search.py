@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null
+from ..operators.blocks import pruned_topk
 from ..operators.dense import dense_topk
 from ..operators.embed import embed
 from ..operators.fusion import reciprocal_rank_fusion
 from ..operators.rerank import rerank_hits
 from ..operators.router import classify_queries
-from ..operators.sparse import bm25_scores, query_terms, top_by_query
+from ..operators.sparse import query_terms
 from ..recipe import SearchSettings
 from ..session import broadcast_within, spill
 from .index import CorpusIndex
@@ -86,14 +87,19 @@ def sparse_arm(index: CorpusIndex, batch: QueryBatch, top: int) -> DataFrame:
         return batch.frame.select(
             "query_id", F.lit(1).alias("rank"), F.lit("").alias("chunk_id"), F.lit(0.0).alias("score")
         ).limit(0)
-    scores = bm25_scores(
-        query_terms(batch.frame),
-        index.table("postings"),
-        index.table("term_stats"),
-        index.stats["n_chunks"],
-        index.stats["n_tokens"] / index.stats["n_chunks"],
+    found = pruned_topk(
+        query_terms(batch.frame), index.table("blocks"), index.table("term_stats"), index.table("terms"),
+        index.stats["n_chunks"], index.average_length, top,
+    )
+    return found.select("query_id", "rank", "chunk_id", "score")
+
+
+def pruning_report(index: CorpusIndex, batch: QueryBatch, top: int) -> DataFrame:
+    """Per query: blocks and postings of its words, how many of them are read, and chunks scored in full."""
+    return pruned_topk(
+        query_terms(batch.frame), index.table("blocks"), index.table("term_stats"), index.table("terms"),
+        index.stats["n_chunks"], index.average_length, top, report=True,
     )
-    return top_by_query(scores, top).select("query_id", "rank", "chunk_id", "score")
 
 
 def hybrid_search(

@@ -9,7 +9,7 @@ from quarrylight.operators.embed import get_embedder
 from quarrylight.operators.fusion import reciprocal_rank_fusion
 from quarrylight.plans.index import build_index
 from quarrylight.plans.multi import multi_query_search, subqueries
-from quarrylight.plans.search import QueryBatch, hybrid_search, search_hits
+from quarrylight.plans.search import QueryBatch, hybrid_search, pruning_report, search_hits, sparse_arm
 from quarrylight.recipe import SearchSettings
 from quarrylight.session import scratch_path
 
@@ -61,7 +61,7 @@ def test_rrf_order_equals_stable_sort(spark):
 def test_bm25_golden(spark, stones):
     batch = queries(spark, "granite quarrying")
     scores = sparse.bm25_scores(
-        sparse.query_terms(batch.frame), stones.table("postings"), stones.table("term_stats"), 3,
+        sparse.query_terms(batch.frame), stones.postings, stones.table("term_stats"), 3,
         stones.stats["n_tokens"] / 3,
     )
     got = {r["chunk_id"]: r["score"] for r in scores.collect()}
@@ -173,3 +173,53 @@ def test_skewed_term_and_partition_counts_do_not_change_results(spark):
 def test_empty_postings_fall_back_to_dense(spark):
     ix = build_index(chunk_rows(spark, ["a b", "? !"]), scratch_path(spark, "test"))
     assert hybrid_search(ix, queries(spark, "granite"), top_k=5).count() == 2
+
+
+def zipf_index(spark, n=3000, name="zipf"):
+    """Chunks of very unevenly frequent words, a few of them rare, with copies."""
+    rnd = random.Random(3)
+    vocab = [f"w{i}" for i in range(4000)]
+    shares = [1 / (i + 1) for i in range(4000)]
+    texts = ["the " * rnd.randint(1, 3) + " ".join(rnd.choices(vocab, shares, k=rnd.randint(3, 30))) for _ in range(n)]
+    texts += [texts[0]] * 200 + ["", "the"]
+    return build_index(chunk_rows(spark, texts).repartition(5), scratch_path(spark, name)), texts
+
+
+@pytest.fixture(scope="module")
+def zipf(spark):
+    return zipf_index(spark)
+
+
+@pytest.mark.parametrize("top", [1, 10, 200])
+def test_pruned_topk_equals_all_scores(spark, zipf, top):
+    index, texts = zipf
+    rnd = random.Random(5)
+    asked = [" ".join(rnd.sample(texts[rnd.randrange(3000)].split(), 4)) for _ in range(15)]
+    batch = queries(spark, *asked, "the", "unheard", "", "the the w0 w1", texts[0])
+    scores = sparse.bm25_scores(
+        sparse.query_terms(batch.frame), index.postings, index.table("term_stats"), index.stats["n_chunks"], index.average_length
+    )
+    expected = sorted(tuple(r) for r in sparse.top_by_query(scores, top).select("query_id", "rank", "chunk_id", "score").collect())
+    assert sorted(tuple(r) for r in sparse_arm(index, batch, top).collect()) == expected
+
+
+def test_frequent_words_are_skipped(spark, zipf):
+    index, texts = zipf
+    rare = [t for t in texts[:200] if len(set(t.split())) > 12][:20]
+    report = pruning_report(index, queries(spark, *rare), 5).collect()
+    assert sum(r["postings_read"] for r in report) < 0.5 * sum(r["postings"] for r in report)
+    assert all(r["blocks_read"] <= r["blocks"] and r["scored"] >= 5 for r in report)
+
+
+def test_blocks_hold_all_postings_in_order(spark, zipf):
+    index, texts = zipf
+    rows = index.table("blocks").collect()
+    assert max(r["size"] for r in rows) <= 128 and all(r["size"] == len(r["chunk_ids"]) and r["top"] >= r["low"] for r in rows)
+    held = sum(len(set(t.split())) for t in texts)
+    assert sum(r["size"] for r in rows) == held == index.postings.count()
+    assert {r["term"] for r in rows if r["lead"]} == {r["term"] for r in rows}
+
+
+def test_empty_index_has_no_hits(spark):
+    index = build_index(chunk_rows(spark, [""]), scratch_path(spark, "none"))
+    assert sparse_arm(index, queries(spark, "granite"), 5).count() == 0 and index.postings.count() == 0

@@ -9,7 +9,7 @@ from quarrylight.functions import fixed
 from quarrylight.operators import concepts as C
 from quarrylight.operators import expansion as X
 from quarrylight.operators.centroids import centroids
-from quarrylight.operators.communities import detect_communities
+from quarrylight.operators.communities import detect_communities, partition_report
 from quarrylight.plans.graph import build_graph, graph_hits, graph_search
 from quarrylight.recipe import GraphSettings
 from quarrylight.session import scratch_path, spill, spread
@@ -342,7 +342,61 @@ def graph_fuse_hybrid(spark, folder):
 
 @query("communities")
 def communities(spark, folder):
-    return detect_communities(basket_edges(spark, folder))
+    return once(spark, folder, "communities", lambda: spill(detect_communities(basket_edges(spark, folder)), "communities"))
+
+
+# Brands as a partition that SQL knows too: its parts, its quality and the nodes that would gain by one move.
+BRAND_PARTITION = """
+lab AS (SELECT DISTINCT u AS node, p_brand AS c FROM links JOIN part ON p_partkey::VARCHAR = u),
+deg AS (SELECT u AS node, sum(weight)::DOUBLE AS k FROM links GROUP BY 1),
+tot AS (SELECT sum(weight)::DOUBLE AS w FROM links),
+vol AS (SELECT c, sum(k) AS volume, count(*) AS members FROM lab JOIN deg USING (node) GROUP BY 1),
+tow AS (SELECT u, b.c AS dest, sum(weight)::DOUBLE AS shared FROM links JOIN lab b ON b.node = v WHERE u <> v GROUP BY 1, 2),
+stay AS (SELECT lab.node, lab.c, k, members, coalesce(shared, 0) - k / w * (volume - k) AS s
+         FROM lab JOIN deg USING (node) JOIN vol USING (c) LEFT JOIN tow ON tow.u = lab.node AND tow.dest = lab.c, tot),
+go AS (SELECT node, max(round(shared - k / w * volume, 9)) AS g
+       FROM stay JOIN tow ON tow.u = stay.node AND tow.dest <> stay.c JOIN vol ON vol.c = tow.dest, tot
+       WHERE stay.members > 1 OR vol.members > 1 OR tow.dest < stay.c GROUP BY 1),
+gain AS (SELECT c, count(*) AS gaining FROM stay LEFT JOIN go USING (node)
+         WHERE greatest(coalesce(g, -1e300), CASE WHEN members > 1 THEN 0 ELSE -1e300 END) - s > 1e-9 GROUP BY 1),
+own AS (SELECT a.c, sum(weight) / 2 AS inside FROM links JOIN lab a ON a.node = u JOIN lab b ON b.node = v AND b.c = a.c GROUP BY 1),
+near AS (SELECT u, v, a.c FROM links JOIN lab a ON a.node = u JOIN lab b ON b.node = v AND b.c = a.c),
+reach AS (SELECT node AS root, node, c FROM lab UNION SELECT root, v, reach.c FROM reach JOIN near ON near.u = reach.node),
+cut AS (SELECT c, count(DISTINCT low) AS parts FROM (SELECT node, c, min(root) AS low FROM reach GROUP BY 1, 2) GROUP BY 1)"""
+
+
+def brand_labels(spark, folder):
+    edges = basket_edges(spark, folder)
+    nodes = edges.select(F.col("a").alias("concept")).union(edges.select("b")).distinct()
+    brands = read(spark, folder, "part").select(
+        F.col("p_partkey").cast("string").alias("concept"), F.col("p_brand").alias("community")
+    )
+    return brands.join(nodes, "concept")
+
+
+@query("partition_quality", S.with_(BASKETS, edges_cte(40), TWO_WAY, BRAND_PARTITION, select="""
+SELECT c AS community, members, round(coalesce(inside, 0)::DOUBLE, 6) AS inside, round(volume, 6) AS volume,
+       round(2 * coalesce(inside, 0) / w - (volume / w) ** 2, 9) AS quality, parts, coalesce(gaining, 0) AS gaining
+FROM vol LEFT JOIN own USING (c) JOIN cut USING (c) LEFT JOIN gain USING (c), tot""").replace("WITH", "WITH RECURSIVE", 1))
+def partition_quality(spark, folder):
+    found = partition_report(basket_edges(spark, folder), brand_labels(spark, folder))
+    return found.select(
+        "community", "members", F.round("inside", 6).alias("inside"), F.round("volume", 6).alias("volume"),
+        F.round("quality", 9).alias("quality"), "parts", "gaining",
+    )
+
+
+@query("community_quality", S.with_(BASKETS, edges_cte(40), TWO_WAY, select="""
+SELECT count(DISTINCT u) AS nodes, sum(weight)::DOUBLE AS volume, 0 AS disconnected, 0 AS gaining, true AS better FROM links"""))
+def community_quality(spark, folder):
+    """All communities connected, no single move left with a gain, and a quality above that of the brands."""
+    edges = basket_edges(spark, folder)
+    brands = partition_report(edges, brand_labels(spark, folder)).agg(F.sum("quality").alias("q"))
+    found = partition_report(edges, communities(spark, folder)).agg(
+        F.sum("members").alias("nodes"), F.sum("volume").alias("volume"), F.count_if(F.col("parts") > 1).alias("disconnected"),
+        F.sum("gaining").alias("gaining"), F.sum("quality").alias("q"),
+    )
+    return found.select("nodes", "volume", "disconnected", "gaining", (F.col("q") > brands.scalar()).alias("better"))
 
 
 def graph(spark, folder):

@@ -9,7 +9,7 @@ from quarrylight.contracts import audit_chunks
 from quarrylight.functions import fixed, text as tx
 from quarrylight.operators.dense import dense_topk
 from quarrylight.operators.embed import embed
-from quarrylight.plans.search import hits, hybrid_search, plan_widths, sparse_arm
+from quarrylight.plans.search import hits, hybrid_search, plan_widths, pruning_report, sparse_arm
 from quarrylight.recipe import SearchSettings
 from quarrylight.session import spread
 from quarrylight.sources import corpus
@@ -134,6 +134,16 @@ def bm25_topk(spark, folder):
     return sparse_arm(index(spark, folder), benchmark_batch(spark, folder), 20)
 
 
+@query("bm25_pruning", S.with_(
+    S.CHUNK_INDEX, S.BENCH_Q, S.search_tf("q", "query_id", "question", "qtf"),
+    select="SELECT query_id, sum(df)::BIGINT AS postings, true AS within FROM qtf JOIN df USING (term) GROUP BY 1"))
+def bm25_pruning(spark, folder):
+    """Postings of each query's words, and that no more of them were opened by the search for its best 20 chunks."""
+    report = pruning_report(index(spark, folder), benchmark_batch(spark, folder), 20)
+    within = (F.col("postings_read") <= F.col("postings")) & (F.col("blocks_read") <= F.col("blocks"))
+    return report.select("query_id", "postings", within.alias("within"))
+
+
 @query("dense_topk", S.with_(
     S.CHUNK_INDEX, S.BENCH_Q, S.search_tf("q", "query_id", "question", "qtf"),
     S.vectors("qtf", "query_id", "d_v"), S.dense("q", "d", "20"),

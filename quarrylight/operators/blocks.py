@@ -1,157 +1,280 @@
-"""Block-max postings: runs of a term's postings with their largest impact, and an exact top-k that skips most of them."""
+"""Block-max postings in shards of chunks: an exact top-k that opens only blocks which can reach a query's threshold.
+
+A shard holds all postings of up to ``SHARD`` neighbouring chunks, a row per word. A word's postings are cut into blocks by ranges of
+``RANGE`` chunks, each with the largest impact in it. So a task has all it needs for its chunks' full scores: nothing is
+shuffled but each task's best chunks.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from ..session import BROADCAST_ROWS, bounded_count, broadcast_within, ship_package, spill
+from ..session import BROADCAST_ROWS, bounded_count, ship_package, spill
 from .sparse import B, K1, inverse_frequency, top_by_query
 
-# Postings in a block.
-BLOCK = 128
-# Chunks that are scored to find a query's threshold, as a multiple of the width asked for.
-SEEDS = 3
+SHARD = 1 << 16
+RANGE = 64
+# Ranges of a shard that are opened first, best bounds first; then twice as many at a time, as the threshold rises in between.
+STEP = 2
 # Scores are rounded to 1e-6; what cannot come within this of the threshold cannot tie with it either.
 MARGIN = 1e-5
-BLOCK_SCHEMA = "term string, lead boolean, top double, low double, size int, chunk_ids array<string>, tfs array<int>, dls array<int>"
+BLOCK_SCHEMA = (
+    "shard long, term string, df int, ranges array<int>, tops array<double>, sizes array<int>,"
+    " locals array<int>, tfs array<int>, dls array<int>, chunk_ids array<string>"
+)
 
 
-def saturation(tf: Column, dl: Column, avg_len: float) -> Column:
+def _saturated(tf: np.ndarray, dl: np.ndarray, avg_len: float) -> np.ndarray:
     """The part of a BM25 score that a posting alone decides; below ``K1 + 1``."""
-    tf = tf.cast("double")
-    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(float(avg_len))))
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg_len))
+
+
+def _lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
+
+
+def _shard_rows(number: int, chunks: pa.Array, dl: np.ndarray, lists: pa.ListArray, avg_len: float) -> pa.RecordBatch:
+    """A shard: one row with the chunks' ids, then a row per word."""
+    local = np.repeat(np.arange(len(chunks), dtype=np.int64), np.diff(lists.offsets.to_numpy()))
+    words, counts = lists.flatten().flatten()
+    held = words.dictionary_encode()
+    names = held.dictionary
+    by_name = pc.sort_indices(names).to_numpy()
+    place = np.empty(len(by_name), np.int64)
+    place[by_name] = np.arange(len(by_name))
+    word = place[held.indices.to_numpy()] if len(held) else np.zeros(0, np.int64)
+    order = np.lexsort((local, word))
+    word, local, tf = word[order], local[order], counts.to_numpy(zero_copy_only=False)[order]
+    length = dl[local]
+    impact = _saturated(tf.astype(float), length, avg_len)
+    n = len(names)
+    ends = np.searchsorted(word, np.arange(n + 1))
+    span = word * (SHARD // RANGE) + local // RANGE
+    starts = np.flatnonzero(np.append(True, span[1:] != span[:-1])) if len(span) else np.zeros(0, np.int64)
+    tops = np.maximum.reduceat(impact, starts) if len(starts) else np.zeros(0)
+    block_ends = np.searchsorted(word[starts], np.arange(n + 1)) if len(starts) else np.zeros(n + 1, np.int64)
+    lead = lambda x: np.append(0, x)  # noqa: E731  (the first row has no blocks)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.full(n + 1, number)), pa.concat_arrays([pa.array([None], pa.string()), names.take(pa.array(by_name)).cast(pa.string())]),
+            pa.array(lead(np.diff(ends)), pa.int32()),
+            _lists(local[starts] // RANGE, lead(block_ends), pa.int32()), _lists(tops, lead(block_ends), pa.float64()),
+            _lists(np.diff(np.append(starts, len(local))), lead(block_ends), pa.int32()),
+            _lists(local, lead(ends), pa.int32()), _lists(tf, lead(ends), pa.int32()), _lists(length, lead(ends), pa.int32()),
+            pa.ListArray.from_arrays(pa.array([0] + [len(chunks)] * (n + 1), pa.int32()), chunks),
+        ],
+        names=["shard", "term", "df", "ranges", "tops", "sizes", "locals", "tfs", "dls", "chunk_ids"],
+    )
+
+
+def _sharded(batches: Iterator[pa.RecordBatch], avg_len: float, size: int) -> Iterator[pa.RecordBatch]:
+    """Chunks (chunk_id, dl, terms) to shards of at most ``size`` chunks, in the order in which they come."""
+    held, count, number = [], 0, TaskContext.get().partitionId() << 24
 
+    def shard() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        chunks, dl, lists = [c.chunk(0) for c in table.columns]
+        return _shard_rows(number, chunks, dl.to_numpy().astype(np.int64), lists, avg_len)
 
-def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Sorted postings (term, chunk_id, tf, dl, impact) to blocks; a batch's end also ends a block."""
-    names = ["term", "lead", "top", "low", "size", "chunk_ids", "tfs", "dls"]
-    last = None
     for batch in batches:
-        n, term = batch.num_rows, batch.column(0)
-        if not n:
-            continue
-        new = np.ones(n, bool)
-        new[1:] = pc.not_equal(term.slice(1), term.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-        run = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        starts = np.flatnonzero((np.arange(n) - run) % size == 0)
-        lead = new[starts]
-        lead[0] = term[0].as_py() != last
-        last = term[n - 1].as_py()
-        ends = np.append(starts[1:], n)
-        offsets = pa.array(np.append(starts, n), pa.int32())
-        impact = batch.column(4).to_numpy()
-        yield pa.RecordBatch.from_arrays(
-            [
-                term.take(pa.array(starts)), pa.array(lead), pa.array(impact[starts]), pa.array(impact[ends - 1]),
-                pa.array((ends - starts).astype(np.int32)),
-                *[pa.ListArray.from_arrays(offsets, batch.column(k)) for k in (1, 2, 3)],
-            ],
-            names,
-        )
-
-
-def posting_blocks(postings: DataFrame, avg_len: float, size: int = BLOCK) -> DataFrame:
-    """Blocks of ``postings`` (term, chunk_id, tf, dl), best impacts first within a term.
-
-    The postings move once, clustered by term with a rebalance hint: a term that holds a large share of them is
-    split over tasks, and each task cuts its own run, so a term may have several ``lead`` blocks (the first of a run).
+        while batch.num_rows:
+            part = batch.slice(0, size - count)
+            held.append(part)
+            count += part.num_rows
+            batch = batch.slice(part.num_rows)
+            if count == size:
+                yield shard()
+                held, count, number = [], 0, number + 1
+    if count:
+        yield shard()
+
+
+def posting_shards(terms: DataFrame, avg_len: float, size: int = SHARD) -> DataFrame:
+    """Shards of the counted words ``terms`` (chunk_id, dl, terms). Nothing is shuffled: neighbouring chunks share a shard.
+
+    Written with one row group per file, a shard is always read by one task.
     """
-    ship_package(postings.sparkSession)
-    ranked = (
-        postings.select("term", "chunk_id", F.col("tf").cast("int"), F.col("dl").cast("int"), saturation(F.col("tf"), F.col("dl"), avg_len).alias("impact"))
-        .hint("rebalance", "term")
-        .sortWithinPartitions("term", F.desc("impact"), "chunk_id")
-    )
-    return ranked.mapInArrow(lambda b: _blocks(b, size), BLOCK_SCHEMA)
+    ship_package(terms.sparkSession)
+    counted = F.transform("terms", lambda t: F.struct(t["term"].alias("term"), t["n"].cast("int").alias("n")))
+    rows = terms.select("chunk_id", F.col("dl").cast("int"), counted.alias("terms"))
+    return rows.mapInArrow(lambda b: _sharded(b, avg_len, size), BLOCK_SCHEMA)
 
 
-def postings_of(blocks: DataFrame, *keep: str) -> DataFrame:
-    """The postings of ``blocks`` as rows (``keep``, term, chunk_id, tf, dl)."""
-    entries = F.explode(F.arrays_zip(F.col("chunk_ids").alias("chunk_id"), F.col("tfs").alias("tf"), F.col("dls").alias("dl")))
-    return blocks.select(*keep, "term", entries.alias("p")).select(*keep, "term", "p.chunk_id", "p.tf", "p.dl")
+def postings_of(shards: DataFrame) -> DataFrame:
+    """The postings of ``shards`` as rows (term, chunk_id, tf, dl)."""
+    names = shards.filter(F.col("term").isNull()).select("shard", F.posexplode("chunk_ids").alias("local", "chunk_id"))
+    entries = F.explode(F.arrays_zip(F.col("locals").alias("local"), F.col("tfs").alias("tf"), F.col("dls").alias("dl")))
+    rows = shards.filter(F.col("term").isNotNull()).select("shard", "term", entries.alias("p")).select("shard", "term", "p.*")
+    return rows.join(names, ["shard", "local"]).select("term", "chunk_id", "tf", "dl")
 
 
-def _hinted(df: DataFrame) -> DataFrame:
-    return broadcast_within(df, bounded_count(df, BROADCAST_ROWS))
+class _Asked:
+    """Weighted query words for tasks, by query and by word."""
 
+    def __init__(self, rows):
+        self.queries = sorted(set(rows["query_id"]))
+        number = {q: i for i, q in enumerate(self.queries)}
+        self.words: dict[str, list[tuple[int, float]]] = {}
+        for query, term, idf in zip(rows["query_id"], rows["term"], rows["idf"]):
+            self.words.setdefault(term, []).append((number[query], idf))
+        self.values = pa.array(sorted(self.words), pa.string())
 
-def exact_scores(wanted: DataFrame, weighted: DataFrame, terms: DataFrame, avg_len: float) -> DataFrame:
-    """Full scores of ``wanted`` (query_id, chunk_id), from the chunks' own counted words."""
-    rows = terms.select("chunk_id", "dl", "terms").join(_hinted(wanted), "chunk_id")
-    words = rows.select("query_id", "chunk_id", "dl", F.explode("terms").alias("t")).select(
-        "query_id", "chunk_id", "dl", "t.term", F.col("t.n").alias("tf")
-    )
-    return (
-        words.join(_hinted(weighted.select("query_id", "term", "idf")), ["query_id", "term"])
-        .groupBy("query_id", "chunk_id")
-        .agg(F.round(F.sum(F.col("idf") * saturation(F.col("tf"), F.col("dl"), avg_len)), 6).alias("score"))
-    )
 
+def _best(scores: np.ndarray, names: list[str], top: int) -> np.ndarray:
+    """Places of the ``top`` best scores, ties by name."""
+    if len(scores) > top:
+        least = np.partition(scores, -top)[-top]
+        keep = np.flatnonzero(scores >= least)
+    else:
+        keep = np.arange(len(scores))
+    return np.array(sorted(keep.tolist(), key=lambda i: (-scores[i], names[i]))[:top], np.int64)
 
-def cut_terms(weighted: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """``weighted`` with ``cut``: impacts up to it need not be looked for in the term's postings.
 
-    A query's cuts add up to less than its threshold, so a chunk none of whose impacts exceeds its term's cut
-    cannot reach the threshold. The sum is spent first on the terms with most postings for their largest
-    impact: frequent words get their whole impact as cut, and none of their blocks is read.
-    """
-    spend = W.partitionBy("query_id").orderBy(F.desc(F.col("df") / F.col("most")), "term")
-    before = F.coalesce(F.sum("most").over(spend.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    left = F.greatest(F.coalesce(F.col("threshold"), F.lit(0.0)) - MARGIN - before, F.lit(0.0))
-    return weighted.join(thresholds, "query_id", "left").withColumn("cut", F.least(F.col("most"), left))
+class _Finder:
+    """Best chunks per query over the shards of a task."""
+
+    def __init__(self, asked: _Asked, avg_len: float, top: int):
+        self.asked, self.avg_len, self.top = asked, avg_len, top
+        self.best: list[list[tuple[float, str]]] = [[] for _ in asked.queries]
+        self.counts = np.zeros((len(asked.queries), 4), np.int64)
+
+    def threshold(self, query: int) -> float:
+        found = self.best[query]
+        return found[-1][0] - MARGIN if len(found) == self.top else -1.0
+
+    def shard(self, names: list[str], words: dict[str, tuple]) -> None:
+        of_query: dict[int, list[tuple]] = {}
+        for word, held in words.items():
+            for query, idf in self.asked.words[word]:
+                of_query.setdefault(query, []).append((idf, held))
+        ranges = -(-len(names) // RANGE)
+        for query, held in of_query.items():
+            # What a chunk of each range can reach at most.
+            bound = np.zeros(ranges)
+            for idf, (at, tops, *_) in held:
+                bound[at] += idf * tops
+            self.counts[query] += (sum(len(w[1]) for _, w in held), 0, sum(len(w[3]) for _, w in held), 0)
+            held.sort(key=lambda w: len(w[1][3]))
+            order = np.argsort(-bound, kind="stable")
+            first, step = 0, STEP
+            while first < ranges:
+                open_now = order[first : first + step]
+                first, step = first + step, 2 * step
+                open_now = open_now[bound[open_now] >= max(self.threshold(query), 1e-12)]
+                if not len(open_now):
+                    break
+                self._open(query, held, open_now, bound, names)
+
+    def _open(self, query: int, held: list[tuple], opened: np.ndarray, bound: np.ndarray, names: list[str]) -> None:
+        """Full scores of the chunks of some ranges, rare words first.
+
+        After each word a range is closed whose best chunk so far cannot reach the threshold with the largest
+        impacts of the words to come; so blocks of frequent words are opened only where a chunk still has a chance.
+        """
+        slot = np.full(len(bound), -1, np.int64)
+        slot[opened] = np.arange(len(opened))
+        rest, least = bound[opened].copy(), self.threshold(query)
+        scores = np.zeros((len(opened), RANGE))
+        flat = scores.ravel()
+        for idf, (at, tops, ends, local, sat) in held:
+            hit = np.flatnonzero(slot[at] >= 0)
+            if not len(hit):
+                continue
+            starts, sizes = ends[hit], ends[hit + 1] - ends[hit]
+            place = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+            where = local[place]
+            flat[slot[where // RANGE] * RANGE + where % RANGE] += idf * sat[place]
+            self.counts[query] += (0, len(hit), 0, len(place))
+            rest[slot[at[hit]]] -= idf * tops[hit]
+            if least > 0:
+                closed = (scores.max(axis=1) + rest < least) & (slot[opened] >= 0)
+                if closed.any():
+                    slot[opened[closed]] = -1
+                    scores[closed] = 0.0
+                    rest[closed] = 0.0
+        scores = flat
+        found = np.flatnonzero(scores > max(self.threshold(query), 0.0))
+        if len(found):
+            chunk = opened[found // RANGE] * RANGE + found % RANGE
+            value = np.round(scores[found], 6)
+            kept = _best(value, [names[c] for c in chunk.tolist()], self.top)
+            both = self.best[query] + [(float(value[i]), names[int(chunk[i])]) for i in kept.tolist()]
+            self.best[query] = sorted(both, key=lambda x: (-x[0], x[1]))[: self.top]
+
+
+def _found(batches: Iterator[pa.RecordBatch], known, avg_len: float, top: int, report: bool) -> Iterator[pa.RecordBatch]:
+    """Shard rows to each task's best chunks, or to its counts of blocks and postings."""
+    asked: _Asked = known.value
+    finder, now, names, words = _Finder(asked, avg_len, top), None, [], {}
+    for batch in batches:
+        shard, term = batch.column(0).to_numpy(), batch.column(1)
+        wanted = pc.fill_null(pc.or_kleene(pc.is_in(term, value_set=asked.values), pc.is_null(term)), True).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(wanted).tolist():
+            if shard[i] != now:
+                if words:
+                    finder.shard(names, words)
+                now, names, words = shard[i], [], {}
+            if not term[i].is_valid:
+                names = batch.column(2)[i].as_py()
+                continue
+            at, tops, sizes, local, tf, dl = [batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in range(3, 9)]
+            words[term[i].as_py()] = (at, tops, np.append(0, np.cumsum(sizes)), local, _saturated(tf.astype(float), dl, avg_len))
+    if words:
+        finder.shard(names, words)
+    ids = pa.array(asked.queries, pa.string())
+    if report:
+        yield pa.RecordBatch.from_arrays([ids, *[pa.array(c) for c in finder.counts.T]], ["query_id", "blocks", "blocks_read", "postings", "postings_read"])
+        return
+    for query, found in zip(asked.queries, finder.best):
+        if found:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([query] * len(found)), pa.array([c for _, c in found]), pa.array([s for s, _ in found])], ["query_id", "chunk_id", "score"]
+            )
+
+
+def weighted_terms(terms: DataFrame, term_stats: DataFrame, n_chunks: int) -> DataFrame:
+    """(query_id, term, idf) of the queries' words that the corpus has."""
+    return terms.join(term_stats, "term").select("query_id", "term", inverse_frequency(F.col("df"), n_chunks).alias("idf"))
 
 
 def pruned_topk(
-    terms: DataFrame, blocks: DataFrame, term_stats: DataFrame, counted: DataFrame,
-    n_chunks: int, avg_len: float, top: int, report: bool = False,
+    terms: DataFrame, shards: DataFrame, term_stats: DataFrame, n_chunks: int, avg_len: float, top: int,
+    report: bool = False, limit: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """(query_id, chunk_id, score, rank): the ``top`` best chunks per query, equal to ranking all scores.
 
-    ``terms`` has the queries' distinct words, ``blocks`` and ``term_stats`` (term, df, peak) come from the index, ``counted``
-    its chunks' words. (1) The lead blocks of a query's words give chunks whose exact scores are looked up; the
-    ``top``-th of these is a threshold that the true result reaches at least. (2) :func:`cut_terms` shares the threshold out;
-    only blocks whose largest impact exceeds their term's cut are opened. (3) What a chunk was seen with, and the cuts of
-    the words it was not seen with, bound its score; chunks that can reach the threshold, ties included, are scored in full.
-    A query with fewer than ``top`` chunks in the lead blocks has threshold 0 and reads all its blocks. With ``report``
-    the result is (query_id, blocks, blocks_read, postings, postings_read, scored) instead.
+    ``terms`` has the queries' distinct words; they are counted and go to the tasks in groups of whole queries of about
+    ``limit`` rows, one scan of the shards each. For each query a task adds up the largest impacts of the query's blocks by
+    range: a bound on what a chunk there can score. Ranges are opened from the best bound on, until the next bound lies below
+    the task's ``top``-th score so far, and closed again as soon as no chunk in them can reach it; the blocks of the
+    rest are never opened. Queries without a known word give no rows.
+    With ``report`` the result is (query_id, blocks, blocks_read, postings, postings_read).
     """
-    weighted = spill(
-        terms.join(term_stats, "term").select(
-            "query_id", "term", "df", inverse_frequency(F.col("df"), n_chunks).alias("idf"), "peak"
-        ).withColumn("most", F.col("idf") * F.col("peak")),
-        "query_terms",
-    )
-    part = lambda of: F.col("idf") * saturation(F.col("tf"), F.col("dl"), avg_len) - of
-    first = blocks.filter("lead").join(_hinted(weighted.select("query_id", "term", "idf")), "term")
-    seen = postings_of(first, "query_id", "idf").groupBy("query_id", "chunk_id").agg(F.sum(part(F.lit(0.0))).alias("score"))
-    seeds = spill(top_by_query(seen, SEEDS * top).select("query_id", "chunk_id"), "seeds")
-    ranked = top_by_query(exact_scores(seeds, weighted, counted, avg_len), top)
-    thresholds = ranked.filter(F.col("rank") == top).select("query_id", F.col("score").alias("threshold"))
-    cuts = spill(cut_terms(weighted, thresholds), "cuts")
-
-    near = F.col("top") * F.col("idf") > F.col("cut")
-    wanted = cuts.filter(F.col("most") > F.col("cut")).select("query_id", "term", "idf", "cut")
-    opened = blocks.join(_hinted(wanted), "term").filter(near)
-    whole = cuts.groupBy("query_id").agg(F.sum("cut").alias("cuts"), F.max("threshold").alias("threshold"))
-    bound = postings_of(opened, "query_id", "idf", "cut").groupBy("query_id", "chunk_id").agg(F.sum(part(F.col("cut"))).alias("more"))
-    candidates = spill(
-        bound.join(_hinted(whole), "query_id")
-        .filter(F.col("more") + F.col("cuts") >= F.coalesce(F.col("threshold"), F.lit(0.0)) - MARGIN)
-        .select("query_id", "chunk_id"),
-        "candidates",
-    )
+    if top < 1:
+        return terms.select("query_id", F.lit("").alias("chunk_id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
+    spark = shards.sparkSession
+    ship_package(spark)
+    weighted = spill(weighted_terms(terms, term_stats, n_chunks), "query_terms")
+    groups = 1 if bounded_count(weighted, limit) is not None else math.ceil(weighted.count() / limit)
+    columns = ["shard", "term", "chunk_ids", "ranges", "tops", "sizes", "locals", "tfs", "dls"]
+    schema = "query_id string, chunk_id string, score double"
+    if report:
+        schema = "query_id string, blocks long, blocks_read long, postings long, postings_read long"
+    found = None
+    for group in range(groups):
+        mine = weighted if groups == 1 else weighted.filter(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == group)
+        known = spark.sparkContext.broadcast(_Asked(mine.toPandas()))
+        part = shards.select(*columns).mapInArrow(lambda b, k=known: _found(b, k, avg_len, top, report), schema)
+        found = part if found is None else found.union(part)
     if report:
-        heads = blocks.select("term", "top", "size").join(_hinted(cuts.select("query_id", "term", "idf", "cut")), "term")
-        sums = heads.groupBy("query_id").agg(
-            F.count("*").alias("blocks"), F.count_if(near).alias("blocks_read"),
-            F.sum("size").alias("postings"), F.sum(F.when(near, F.col("size")).otherwise(0)).alias("postings_read"),
-        )
-        return sums.join(candidates.groupBy("query_id").agg(F.count("*").alias("scored")), "query_id", "left").fillna(0, ["scored"])
-    return top_by_query(exact_scores(candidates, weighted, counted, avg_len), top)
+        sums = [F.sum(c).alias(c) for c in ("blocks", "blocks_read", "postings", "postings_read")]
+        return found.groupBy("query_id").agg(*sums)
+    return top_by_query(found, top)

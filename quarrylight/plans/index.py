@@ -5,9 +5,9 @@ The index is a folder of Parquet tables that is rebuilt as a whole:
 ==============  =====================================================================
 ``chunks``      the chunk relation, text made indexable
 ``terms``       one row per chunk: its counted search words, length, top keywords
-``blocks``      postings in blocks of one term, best impacts first, each with its
-                largest impact
-``term_stats``  ``(term, df, peak)``; ``peak`` is the term's largest impact
+``shards``      postings of neighbouring chunks by term, in blocks with their largest
+                impacts
+``term_stats``  ``(term, df)``
 ``vectors``     ``(chunk_id, vector)``
 ``stats``       one row of corpus totals
 ==============  =====================================================================
@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import with_keywords, with_term_counts
-from ..operators.blocks import posting_blocks, postings_of
+from ..operators.blocks import posting_shards, postings_of
 from ..operators.embed import DEFAULT_MODEL, embed
+from ..session import spread
 
 KEYWORDS_KEPT = 12
 
@@ -51,7 +52,7 @@ class CorpusIndex:
     @property
     def postings(self) -> DataFrame:
         """Rows ``(term, chunk_id, tf, dl)``."""
-        return postings_of(self.table("blocks"))
+        return postings_of(self.table("shards"))
 
     @property
     def chunks(self) -> DataFrame:
@@ -79,9 +80,8 @@ class CorpusIndex:
 def build_index(chunks: DataFrame, path: str, model: str = DEFAULT_MODEL) -> CorpusIndex:
     """Write the index tables under ``path`` and return the opened index.
 
-    Two steps shuffle: postings move once to be clustered by term, where the
-    rebalance hint lets AQE split a term that holds a large share of all rows, and
-    term statistics move pre-counted rows.
+    Postings stay with their chunks, in shards; only term statistics are shuffled,
+    as rows counted before.
     """
     spark = chunks.sparkSession
     index = CorpusIndex(spark, path, model)
@@ -109,15 +109,13 @@ def build_index(chunks: DataFrame, path: str, model: str = DEFAULT_MODEL) -> Cor
         F.count_distinct("doc_id").alias("n_docs"),
         F.coalesce(F.sum("dl"), F.lit(0)).alias("n_tokens"),
     ).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
-    postings = (
-        terms.select("chunk_id", "dl", F.explode_outer("terms").alias("t"))
-        .filter(F.col("t").isNotNull())
-        .select("t.term", "chunk_id", F.col("t.n").alias("tf"), "dl")
-    )
-    posting_blocks(postings, index.average_length).write.mode("overwrite").parquet(f"{path}/blocks")
-    index.table("blocks").groupBy("term").agg(
-        F.sum("size").alias("df"), F.max("top").alias("peak")
-    ).write.mode("overwrite").parquet(f"{path}/term_stats")
+    # One row group per file, so that a shard is never read by two tasks.
+    posting_shards(spread(terms), index.average_length).write.mode("overwrite").option(
+        "parquet.block.size", str((1 << 31) - 1)
+    ).parquet(f"{path}/shards")
+    index.table("shards").filter(F.col("term").isNotNull()).groupBy("term").agg(F.sum("df").alias("df")).write.mode(
+        "overwrite"
+    ).parquet(f"{path}/term_stats")
     embed(stored.select("chunk_id", "text"), "text", model).select("chunk_id", "vector").write.mode(
         "overwrite"
     ).parquet(f"{path}/vectors")

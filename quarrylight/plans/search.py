@@ -88,16 +88,16 @@ def sparse_arm(index: CorpusIndex, batch: QueryBatch, top: int) -> DataFrame:
             "query_id", F.lit(1).alias("rank"), F.lit("").alias("chunk_id"), F.lit(0.0).alias("score")
         ).limit(0)
     found = pruned_topk(
-        query_terms(batch.frame), index.table("blocks"), index.table("term_stats"), index.table("terms"),
+        query_terms(batch.frame), index.table("shards"), index.table("term_stats"),
         index.stats["n_chunks"], index.average_length, top,
     )
     return found.select("query_id", "rank", "chunk_id", "score")
 
 
 def pruning_report(index: CorpusIndex, batch: QueryBatch, top: int) -> DataFrame:
-    """Per query: blocks and postings of its words, how many of them are read, and chunks scored in full."""
+    """Per query: blocks and postings of its words, and how many of them are opened."""
     return pruned_topk(
-        query_terms(batch.frame), index.table("blocks"), index.table("term_stats"), index.table("terms"),
+        query_terms(batch.frame), index.table("shards"), index.table("term_stats"),
         index.stats["n_chunks"], index.average_length, top, report=True,
     )
 

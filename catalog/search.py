@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.contracts import audit_chunks
 from quarrylight.functions import fixed, text as tx
+from quarrylight.operators import semantic
 from quarrylight.operators.dense import dense_topk
 from quarrylight.operators.embed import embed
 from quarrylight.plans.search import hits, hybrid_search, plan_widths, pruning_report, sparse_arm
@@ -15,7 +16,7 @@ from quarrylight.session import spread
 from quarrylight.sources import corpus
 
 from . import sqltext as S
-from .workspace import benchmark_batch, chunks, index, read
+from .workspace import benchmark_batch, chunks, index, once, read
 
 QUERIES = {}
 ORACLES = {}
@@ -159,6 +160,35 @@ cent AS (SELECT label, i, avg(x) AS m FROM comp GROUP BY 1, 2),
 cent_n AS (SELECT label, i, (m / sqrt(sum(m * m) OVER (PARTITION BY label)))::FLOAT::DOUBLE AS m FROM cent)"""
 
 
+@query("tfidf_weights", S.with_(S.CHUNK_INDEX, f"""
+n AS (SELECT count(*) AS n FROM chunks),
+voc AS (SELECT term, df FROM df, n WHERE df >= {semantic.MIN_DF} AND df < n ORDER BY df DESC, term LIMIT {semantic.VOCABULARY}),
+raw AS (SELECT chunk_id, term, (1 + ln(ctf.n)) * ln((n.n + 1)::DOUBLE / (df + 1)) AS w FROM ctf JOIN voc USING (term), n)""", select="""
+SELECT chunk_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY chunk_id)), 6) AS weight FROM raw"""))
+def tfidf_weights(spark, folder):
+    """The matrix that semantic vectors are fitted on."""
+    ix = index(spark, folder)
+    words = semantic.vocabulary(ix.table("term_stats"), ix.stats["n_chunks"])
+    found = semantic.tfidf(ix.table("terms"), words, ix.stats["n_chunks"])
+    return found.select("chunk_id", "term", F.round("weight", 6).alias("weight"))
+
+
+def semantics(spark, folder):
+    def make():
+        ix = index(spark, folder)
+        return semantic.fit(ix.table("terms"), ix.table("term_stats"), ix.stats["n_chunks"])
+
+    return once(spark, folder, "semantics", make)
+
+
+@query("semantic_topk")
+def semantic_topk(spark, folder):
+    """Nearest chunks of all benchmark passages in the fitted space."""
+    ix, batch, found = index(spark, folder), benchmark_batch(spark, folder), semantics(spark, folder)
+    items = found.of_counted(ix.table("terms"))
+    return dense_topk(items, found.of_texts(batch.frame, "query_id", "question"), 20)
+
+
 @query("knn_topk", "WITH " + LABEL_CENTROIDS + """,
 s AS (SELECT c.label, vec_id::VARCHAR AS item, round(sum(c.m * e.x), 6) + 0.0 AS score
       FROM cent_n c JOIN comp e USING (i) GROUP BY 1, 2)
@@ -286,6 +316,6 @@ SELECT query_id, rank::INTEGER AS rank, chunk_id, scope, method, route_score, ca
 FROM h JOIN q USING (query_id) JOIN route USING (query_id) WHERE rank <= top_k"""))
 def routed_search(spark, folder):
     ix, batch = index(spark, folder), benchmark_batch(spark, folder)
-    plan, _, _ = plan_widths(ix, batch, SearchSettings(), route=True)
-    facts = plan.select("query_id", "scope", "method", "route_score", "candidate_k", "top_k")
-    return hybrid_search(ix, batch, route=True).join(facts, "query_id").drop("score")
+    planned = plan_widths(ix, batch, SearchSettings(), route=True)
+    facts = planned[0].select("query_id", "scope", "method", "route_score", "candidate_k", "top_k")
+    return hybrid_search(ix, batch, route=True, planned=planned).join(facts, "query_id").drop("score")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrylight.operators.semantic import Semantics
 from quarrylight.plans.evaluation import EvalRun
 from quarrylight.plans.graph import ConceptGraph
 from quarrylight.plans.index import CorpusIndex, build_index
@@ -26,6 +27,8 @@ def _stored(spark: SparkSession, value) -> bool:
         return _stored(spark, value.frame)
     if isinstance(value, EvalRun):
         return _stored(spark, value.per_probe)
+    if isinstance(value, Semantics):
+        return _stored(spark, value.words)
     if isinstance(value, ConceptGraph):
         return path_exists(spark, f"{value.path}/meta/_SUCCESS")
     return path_exists(spark, f"{value.path}/stats/_SUCCESS")

@@ -24,7 +24,7 @@ from ..session import broadcast_within, ship_package, spill
 DIMENSIONS = 64
 # Vectors carried beside the ones asked for, and rounds of power iteration.
 EXTRA = 16
-ROUNDS = 3
+ROUNDS = 6
 # Words with a column of their own: the most frequent ones that stand in at least two chunks.
 VOCABULARY = 20_000
 MIN_DF = 2
@@ -188,10 +188,10 @@ class Semantics:
         known = entries.join(broadcast_within(self.words, VOCABULARY), "term", "left")
         raw = F.coalesce(weights(F.col("n"), F.col("df"), self.n_chunks), F.lit(0.0))
         sums = [F.coalesce(F.sum(raw * F.get("vector", F.lit(i)).cast("double")), F.lit(0.0)).alias(f"v{i}") for i in range(k)]
-        added = known.groupBy("key").agg(*sums)
-        size = F.sqrt(sum((F.col(f"v{i}") * F.col(f"v{i}") for i in range(k)), F.lit(0.0)))
-        unit = F.array(*[F.when(size > 0, F.col(f"v{i}") / size).otherwise(0.0).cast("float") for i in range(k)])
-        return added.select(F.col("key").alias(key), unit.alias("vector"))
+        added = known.groupBy("key").agg(*sums).select("key", F.array(*[f"v{i}" for i in range(k)]).alias("sums"))
+        sized = added.withColumn("size", F.sqrt(F.aggregate("sums", F.lit(0.0), lambda s, x: s + x * x)))
+        unit = F.transform("sums", lambda x: F.when(F.col("size") > 0, x / F.col("size")).otherwise(0.0).cast("float"))
+        return sized.select(F.col("key").alias(key), unit.alias("vector"))
 
     def of_texts(self, texts: DataFrame, key: str, text: str) -> DataFrame:
         """(``key``, ``vector``) of texts; null and empty texts have a zero vector."""

@@ -48,7 +48,8 @@ def plan_widths(
     """Queries with vector, ``candidate_k`` and ``top_k`` columns, and both upper bounds.
 
     The candidate width is four times the width asked for. A query routed as global
-    gets a deeper pool, and a wider result only when no width was asked for.
+    gets a deeper pool, and a wider result only when no width was asked for. A routed plan is
+    written once; hand it on as ``planned`` where several steps need it.
     """
     base_k = settings.top_k if top_k is None else top_k
     candidate = max(OVERFETCH * base_k, base_k)
@@ -78,7 +79,7 @@ def plan_widths(
             "top_k": F.when(wide, F.lit(wide_k)).otherwise(F.lit(base_k)),
         }
     )
-    return plan, max(candidate, settings.global_candidate_k), max(base_k, wide_k)
+    return spill(plan, "plan"), max(candidate, settings.global_candidate_k), max(base_k, wide_k)
 
 
 def sparse_arm(index: CorpusIndex, batch: QueryBatch, top: int) -> DataFrame:
@@ -105,14 +106,15 @@ def pruning_report(index: CorpusIndex, batch: QueryBatch, top: int) -> DataFrame
 def hybrid_search(
     index: CorpusIndex, batch: QueryBatch, settings: SearchSettings | None = None,
     top_k: int | None = None, route: bool | None = None, rerank: bool = False,
+    planned: tuple[DataFrame, int, int] | None = None,
 ) -> DataFrame:
-    """Rows ``(query_id, rank, chunk_id, score)``, best first.
+    """Rows ``(query_id, rank, chunk_id, score)``, best first. ``planned`` is a result of :func:`plan_widths`.
 
     Ranks past a query's own width are cut by column; the constant upper bound
     beside it lets Spark prune each task's rows before the shuffle.
     """
     settings = settings or SearchSettings()
-    plan, max_candidates, max_top = plan_widths(index, batch, settings, top_k, route)
+    plan, max_candidates, max_top = planned or plan_widths(index, batch, settings, top_k, route)
     widths = plan.select("query_id", "candidate_k", "top_k")
     dense = dense_topk(index.table("vectors"), plan.select("query_id", "vector"), max_candidates)
     sparse = sparse_arm(index, batch, max_candidates)
@@ -165,13 +167,13 @@ def search_hits(
 ) -> DataFrame:
     """Hits with payload; the first hit of a routed query carries its routing facts."""
     settings = settings or SearchSettings()
-    ranked = hybrid_search(index, batch, settings, top_k, route, rerank)
+    planned = plan_widths(index, batch, settings, top_k, route)
+    ranked = hybrid_search(index, batch, settings, top_k, route, rerank, planned)
     width = max(settings.top_k if top_k is None else top_k, settings.global_top_k)
     found = hits(ranked, index.chunks, batch.rows * max(width, 1))
     if not (settings.routing_enabled if route is None else route):
         return found.withColumn("route", F.lit(None).cast(ROUTE))
-    plan, _, _ = plan_widths(index, batch, settings, top_k, route)
-    facts = plan.select(
+    facts = planned[0].select(
         "query_id",
         F.struct(
             "scope", "method", F.col("route_score").alias("score"), "candidate_k",

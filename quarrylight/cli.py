@@ -5,6 +5,7 @@ Commands take the session from ``spark-submit`` when there is one.
 
 from __future__ import annotations
 
+import argparse
 import json
 import sys
 
@@ -87,8 +88,12 @@ def evaluate(args: list[str]) -> int:
     ix = _index(spark, recipe)
     sources = document_sources(scan_meta(spark, recipe.resolve(recipe.index.outputs_dir)))
     run = run_eval(ix, sources, recipe.evaluation, recipe.search)
-    out = write_report(run, ix, sources, recipe.resolve("eval"), recipe.evaluation)
+    folder = recipe.resolve("eval")
+    out = write_report(run, ix, sources, folder, recipe.evaluation)
     print(f"probes={out['n_probes']} k={out['k']}\nDECISION: {out['decision']}\n{out['rationale']}")
+    for cell in out["cells"]:
+        print(f"recall of {cell['scope']} probes, {cell['doc_class']} documents: {cell['recall_at_k']} ({cell['n']})")
+    print(f"report in {folder}")
     return 0
 
 
@@ -108,23 +113,29 @@ def experiment(args: list[str]) -> int:
     return 0
 
 
+def _score_arguments() -> argparse.ArgumentParser:
+    parser = argparse.ArgumentParser(prog="python -m quarrylight score", description="Score the index on gold from outside.")
+    parser.add_argument("gold", help="file of gold questions")
+    parser.add_argument("recipe", nargs="?", default=R.DEFAULT_RECIPE)
+    parser.add_argument("--route", action="store_true", help="let the router choose each query's width")
+    parser.add_argument("--k", dest="top_k", type=int, help="hits asked for per question")
+    parser.add_argument("--sample", type=int, help="questions to draw")
+    parser.add_argument("--seed", type=int, help="seed of the draw")
+    return parser
+
+
 def score(args: list[str]) -> int:
-    if not args:
-        print("usage: python -m quarrylight score <gold.json> [recipe] [--route] [--k K] [--sample N] [--seed S]")
-        return 2
-    path, rest, options, recipe = args[0], args[1:], {}, R.DEFAULT_RECIPE
-    while rest:
-        head = rest.pop(0)
-        if head == "--route":
-            options["route"] = True
-        elif head in ("--k", "--sample", "--seed"):
-            options[{"--k": "top_k"}.get(head, head[2:])] = int(rest.pop(0))
-        elif not head.startswith("--"):
-            recipe = head
+    try:
+        asked = vars(_score_arguments().parse_args(args))
+    except SystemExit as stop:
+        return 0 if stop.code in (0, None) else 2
+    gold, recipe = asked.pop("gold"), asked.pop("recipe")
+    options = {name: value for name, value in asked.items() if value not in (None, False)}
     spark, settings = _spark(), R.open_recipe(recipe)
-    table = score_external(_index(spark, settings), scan_gold(spark, path), settings.search, **options)
+    table = score_external(_index(spark, settings), scan_gold(spark, gold), settings.search, **options)
+    print("scope\tquestions\trecall\thit rate")
     for row in table.orderBy("scope").collect():
-        print(f"  {row['scope']:8} n={row['n']:3}  recall={row['recall']}  hit_rate={row['hit_rate']}")
+        print("\t".join(str(row[c]) for c in ("scope", "n", "recall", "hit_rate")))
     return 0
 
 

@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 
 from ..session import broadcast_within, spill
 
-# Most labelled documents, and most unlabelled ones for pseudo-labels, that a classifier is fitted on.
+# Most labelled documents that a classifier is fitted on; of unlabelled ones all take part.
 FIT_ROWS = 10_000
-POOL_ROWS = 10_000
 ROUNDS = 3
 # A view hands a document to the other one if it is at least so sure of its class.
 SURE = 0.98
@@ -24,8 +23,6 @@ KEEP = 0.5
 TEXT_BITS = 14
 META_BITS = 12
 SEED = 5
-# Tasks that each step of a fit runs on; its rows are bounded by FIT_ROWS and POOL_ROWS.
-FIT_PARTS = 6
 # One labelled document in so many calibrates the views and is not fitted on.
 HELD_OUT = 4
 META_COLUMNS = ("source", "lang")
@@ -109,7 +106,8 @@ def _fit(rows: DataFrame, view: str) -> LogisticRegressionModel:
     return LogisticRegression(
         featuresCol=f"__q_{view}", labelCol="__q_y", rawPredictionCol="__q_raw", probabilityCol="__q_probability",
         predictionCol="__q_prediction", maxIter=30, tol=1e-4, regParam=1e-4, standardization=view == "meta",
-    ).fit(rows.coalesce(FIT_PARTS))
+        weightCol="__q_weight",
+    ).fit(rows)
 
 
 def _scale(margins: np.ndarray, good: np.ndarray, pull: float = 1e-3) -> list[float]:
@@ -134,15 +132,23 @@ def _scale(margins: np.ndarray, good: np.ndarray, pull: float = 1e-3) -> list[fl
     return [float(w) for w in weights]
 
 
-def _sample(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, fit_rows: int, pool_rows: int) -> DataFrame:
-    """(``__q_id``, ``__q_y``) of the documents to fit on: labelled ones, and others with a null label."""
-    ranked = lambda rows, n: rows.orderBy(F.xxhash64(F.lit(SEED), "__q_id"), "__q_id").limit(n)
+def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, fit_rows: int) -> DataFrame:
+    """(``__q_id``, ``__q_y``) of at most ``fit_rows`` documents that have a label, by hash of the id."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__q_id"))
     known = known.agg(F.min((F.col(label_col) > 0).cast("double")).alias("__q_y"))
-    named = spill(ranked(known, fit_rows), "labelled")
-    ids = docs.select(F.col(id_col).alias("__q_id")).where("__q_id IS NOT NULL")
-    others = ids.join(broadcast_within(named, fit_rows), "__q_id", "left_anti").distinct()
-    return spill(named.union(ranked(others, pool_rows).withColumn("__q_y", F.lit(None).cast("double"))), "sample")
+    present = known.join(docs.select(F.col(id_col).alias("__q_id")), "__q_id", "left_semi")
+    return spill(present.orderBy(F.xxhash64(F.lit(SEED), "__q_id"), "__q_id").limit(fit_rows), "labelled")
+
+
+def _viewed(docs: DataFrame, chosen: DataFrame, fit_rows: int, id_col: str, text_col: str, meta_columns: Sequence[str]) -> DataFrame:
+    """(``__q_id``, ``__q_y``, ``__q_order``, ``__q_text``, ``__q_meta``) of all documents; those of ``chosen`` have a label."""
+    columns = [c for c in dict.fromkeys([text_col, *meta_columns]) if c in docs.columns]
+    rows = docs.select(F.col(id_col).alias("__q_id"), *columns)
+    rows = rows.join(broadcast_within(chosen, fit_rows), "__q_id", "left")
+    content = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    order = F.when(F.col("__q_y").isNotNull(), F.sha2(F.concat_ws("\n", *content), 256))
+    views = with_views(rows.withColumn("__q_order", order), text_col, meta_columns)
+    return spill(views.select("__q_id", "__q_y", "__q_order", "__q_text", "__q_meta"), "views")
 
 
 def co_train(
@@ -153,44 +159,50 @@ def co_train(
     label_col: str = "quality",
     meta_columns: Sequence[str] = META_COLUMNS,
     fit_rows: int = FIT_ROWS,
-    pool_rows: int = POOL_ROWS,
     rounds: int = ROUNDS,
     sure: float = SURE,
 ) -> CoTrained:
-    """Fits both views on at most ``fit_rows`` labelled documents and ``pool_rows`` others, chosen by hash of the id.
+    """Fits both views on at most ``fit_rows`` labelled documents, chosen by hash of the id, and on all others.
 
     Each view is a logistic regression, fitted over the cluster. In every round each view
-    labels the pool, and what it is ``sure`` of goes to the other view's training rows. A
+    labels all other documents, and what it is ``sure`` of goes to the other view's training rows,
+    where these rows together weigh no more than the labelled ones. A
     held-out part of the labelled documents calibrates each view's margin and then weighs
-    the two. A document with several labels takes the lowest; labels without a document,
-    null labels and null ids are ignored. Without labels of both classes in both parts there
+    the two. A document with several labels takes the lowest; labels without a document and
+    null labels are ignored, documents with a null id have no label. Of several rows of a labelled id the
+    one with the least digest of text and metadata is fitted on; repeated rows without a label all take part.
+    Without labels of both classes in both parts there
     is no model, and every document scores the share of good labels (1 without any).
     """
-    chosen = _sample(docs, labels, id_col, label_col, fit_rows, pool_rows)
-    picked = docs.join(broadcast_within(chosen, fit_rows + pool_rows), docs[id_col] == chosen["__q_id"])
-    picked = picked.dropDuplicates(["__q_id"])
-    columns = [c for c in dict.fromkeys([text_col, *meta_columns]) if c in docs.columns]
-    views = with_views(picked.select(*[picked[c] for c in columns], "__q_id", "__q_y"), text_col, meta_columns)
+    chosen = _labelled(docs, labels, id_col, label_col, fit_rows)
+    views = _viewed(docs, chosen, fit_rows, id_col, text_col, meta_columns)
+    vectors = ("__q_text", "__q_meta")
+    one = views.where("__q_y IS NOT NULL").groupBy("__q_id", "__q_y").agg(F.min_by(F.struct(*vectors), "__q_order").alias("v"))
     held = F.pmod(F.xxhash64(F.lit(SEED + 1), "__q_id"), F.lit(HELD_OUT)) == 0
-    rows = spill(views.select("__q_id", "__q_y", "__q_text", "__q_meta", held.alias("__q_held")), "views")
-    counts = {(r["__q_held"], r["__q_y"]): r["count"] for r in rows.where("__q_y IS NOT NULL").groupBy("__q_held", "__q_y").count().collect()}
+    rows = spill(one.select("__q_y", "v.*", held.alias("__q_held"), F.lit(1.0).alias("__q_weight")).coalesce(1), "labelled-views")
+    pool = views.where("__q_y IS NULL").select("__q_y", *vectors)
+    counts = {(r["__q_held"], r["__q_y"]): r["count"] for r in rows.groupBy("__q_held", "__q_y").count().collect()}
     total = sum(counts.values())
     rate = sum(n for (_, y), n in counts.items() if y == 1) / total if total else 1.0
     if len(counts) < 4:
         return CoTrained(rate)
-    known, pool = rows.where("__q_y IS NOT NULL AND NOT __q_held"), rows.where("__q_y IS NULL")
-    proof = rows.where("__q_y IS NOT NULL AND __q_held")
-    extra = {"text": known.limit(0), "meta": known.limit(0)}
+    fitted = ["__q_y", *vectors, "__q_weight"]
+    known, proof = rows.where("NOT __q_held").select(fitted), rows.where("__q_held")
+    n_known = sum(n for (out, _), n in counts.items() if not out)
+    extra = {}
     for turn in range(rounds + 1):
-        model = CoTrained(rate, *(_fit(known.union(extra[v]), v) for v in ("text", "meta")))
+        model = CoTrained(rate, *(_fit(known.union(extra[v]) if v in extra else known, v) for v in ("text", "meta")))
         held = model.score(proof).select("__q_text_margin", "__q_meta_margin", "__q_y").collect()
         margins, good = np.array([r[:2] for r in held]), np.array([r[2] == 1 for r in held])
         model.text_scale, model.meta_scale = (tuple(_scale(margins[:, i : i + 1], good)) for i in (0, 1))
         if turn < rounds:
             labelled = model.score(pool)
+            sure_of = {v: (F.col(f"__q_by_{v}") >= sure) | (F.col(f"__q_by_{v}") <= 1 - sure) for v in ("text", "meta")}
+            sizes = labelled.agg(*[F.count_if(c).alias(v) for v, c in sure_of.items()]).first()
             for view, other in (("text", "meta"), ("meta", "text")):
-                p = F.col(f"__q_by_{view}")
-                extra[other] = labelled.where((p >= sure) | (p <= 1 - sure)).withColumn("__q_y", F.round(p)).select(*known.columns)
+                given = labelled.withColumn("__q_y", F.round(F.col(f"__q_by_{view}")))
+                weight = F.lit(min(1.0, n_known / max(1, sizes[view])))
+                extra[other] = given.where(sure_of[view]).withColumn("__q_weight", weight).select(fitted)
     logits = np.column_stack([margins[:, i] * a + b for i, (a, b) in enumerate((model.text_scale, model.meta_scale))])
     model.weights = tuple(_scale(logits, good))
     return model

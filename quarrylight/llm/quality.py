@@ -20,7 +20,7 @@ ROUNDS = 3
 # A view hands a document to the other one if it is at least so sure of its class.
 SURE = 0.98
 KEEP = 0.5
-TEXT_BITS = 14
+TEXT_BITS = 17
 META_BITS = 12
 SEED = 5
 # One labelled document in so many calibrates the views and is not fitted on.

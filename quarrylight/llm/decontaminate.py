@@ -86,15 +86,19 @@ class ItemBlock:
     def __init__(self, items: list[tuple[object, bytes]], size: int, containment: float):
         self.size, self.containment = size, containment
         self.ids, self.shingles, classes = [], [], {}
+        self.phrases: dict[int, dict[bytes, list[int]]] = {}
         for key, data in items:
             words = [w for block in plain_words(data) for w in block]
             if words:
                 found = frozenset(_shingles(words, size))
-                classes.setdefault(len(found).bit_length(), []).append(len(self.ids))
+                if len(words) < size:
+                    self.phrases.setdefault(len(words), {}).setdefault(*found, []).append(len(self.ids))
+                else:
+                    classes.setdefault(len(found).bit_length(), []).append(len(self.ids))
                 self.ids.append(key)
                 self.shingles.append(found)
-        hashes = [np.unique(np.concatenate([shingle_hashes(s.split(b" "), size) for s in f])) for f in self.shingles]
-        self.classes = [(min(len(self.shingles[i]) for i in of), of, [hashes[i] for i in of]) for of in classes.values()]
+        hashes = lambda i: np.unique(np.concatenate([shingle_hashes(s.split(b" "), size) for s in self.shingles[i]]))
+        self.classes = [(min(len(self.shingles[i]) for i in of), of, [hashes(i) for i in of]) for of in classes.values()]
         self.tables: dict[int, list] = {}
 
     def _tables(self, partition: int) -> list:
@@ -124,16 +128,24 @@ class ItemBlock:
 
     def matches(self, data: bytes | None) -> list[tuple[int, int]]:
         """(item number, shared shingles) of the items that a text contains, by exact comparison."""
-        hashes = text_hashes(data, self.size)
-        near = self.candidates(hashes) if len(hashes) and self.ids else None
+        short = {i for width, of in self.phrases.items() for i in self._held_phrases(data, width, of)}
+        hashes = text_hashes(data, self.size) if self.classes else ()
+        near = self.candidates(hashes) if len(hashes) else set()
         if not near:
-            return []
+            return [(i, 1) for i in sorted(short)]
         wanted = frozenset().union(*(self.shingles[i] for i in near))
         held: set[bytes] = set()
         for words in overlapped(plain_words(data), self.size):
             held.update(s for s in _shingles(words, self.size) if s in wanted)
         shared = [(i, len(self.shingles[i] & held)) for i in sorted(near)]
-        return [(i, n) for i, n in shared if n / len(self.shingles[i]) >= self.containment]
+        return sorted([(i, n) for i, n in shared if n / len(self.shingles[i]) >= self.containment] + [(i, 1) for i in short])
+
+    @staticmethod
+    def _held_phrases(data: bytes | None, width: int, of: dict[bytes, list[int]]) -> Iterator[int]:
+        """Items of ``width`` words that stand in a text as a whole."""
+        for words in overlapped(plain_words(data), width):
+            for phrase in of.keys() & set(_shingles(words, width)):
+                yield from of[phrase]
 
 
 def _item_blocks(items: DataFrame, id_col: str, text_col: str, size: int, containment: float) -> Iterator[ItemBlock]:
@@ -164,7 +176,7 @@ def contained_items(
     """(id, ``item_id``, ``shared``, ``item_shingles``, ``containment``) of every item that a document contains.
 
     An item counts as contained if at least ``containment`` of its distinct shingles
-    (``size`` words; the whole sequence of a shorter text) stand in the document. Documents
+    (``size`` words; an item of fewer words is one shingle of its own length) stand in the document. Documents
     fall into partitions by their number of shingles, each with as many MinHash bins as its
     largest size needs; items of fewer than ``SHORT`` shingles are looked up by all shingles of the
     text, so they are found in texts of any length. Pairs that share a value are then compared shingle by shingle. Items go to the tasks in broadcast

@@ -38,12 +38,18 @@ _SHINGLES = f"""CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3)
 
 OP1 = f"""
 WITH d AS (SELECT DISTINCT doc_id, unnest({_SHINGLES}) AS s FROM (SELECT doc_id, {_WORDS} AS ws FROM documents)),
-b AS (SELECT DISTINCT item_id, unnest({_SHINGLES}) AS s FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark)),
+i AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+b AS (SELECT DISTINCT item_id, unnest({_SHINGLES}) AS s FROM i WHERE len(ws) >= 5),
 n AS (SELECT item_id, count(*) AS item_shingles FROM b GROUP BY 1)
 SELECT doc_id, item_id, count(*)::BIGINT AS shared, item_shingles::BIGINT AS item_shingles,
        count(*)::DOUBLE / item_shingles AS containment
 FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, item_shingles
 HAVING count(*)::DOUBLE / item_shingles >= 0.8
+UNION ALL
+SELECT doc_id, item_id, 1::BIGINT, 1::BIGINT, 1.0::DOUBLE
+FROM (SELECT doc_id, ' ' || array_to_string({_WORDS}, ' ') || ' ' AS words FROM documents)
+JOIN (SELECT item_id, array_to_string(ws, ' ') AS phrase FROM i WHERE len(ws) BETWEEN 1 AND 4)
+  ON contains(words, ' ' || phrase || ' ')
 """
 
 OP6 = """

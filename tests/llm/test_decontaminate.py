@@ -16,13 +16,24 @@ def shingles(text):
     return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)}
 
 
+def plain(text):
+    return " ".join(WORD.findall("".join(c.lower() if c.isascii() else c for c in text or "")))
+
+
+def size_of(text):
+    return len(plain(text).split(" "))
+
+
 def naive(docs, items):
     out = []
     for d, text in docs:
         held = shingles(text)
         for i, item in items:
             of = shingles(item)
-            if of and len(of & held) / len(of) >= 0.8:
+            if of and size_of(item) < 5:
+                if f" {next(iter(of))} " in f" {plain(text)} ":
+                    out.append((d, i, 1))
+            elif of and len(of & held) / len(of) >= 0.8:
                 out.append((d, i, len(of & held)))
     return sorted(out, key=str)
 
@@ -76,6 +87,15 @@ def test_empty_tables(spark):
     assert decontaminate.decontaminate(docs, bench).count() == 0
 
 
+def test_items_of_few_words_are_found_inside_texts(monkeypatch):
+    monkeypatch.setattr("quarrylight.llm.words.BLOCK", 16)
+    text = b"one two Three; four five six seven " + b"more words " * 50 + b"at the very end"
+    items = [(0, b"three four five"), (1, b"very end"), (2, b"three five"), (3, b"end"), (4, b"fou"), (5, b""), (6, b"one two three four five six")]
+    block = decontaminate.ItemBlock(items, 5, 0.8)
+    assert [block.ids[i] for i, _ in block.matches(text)] == [0, 1, 3, 6]
+    assert block.matches(b"three") == [] and block.matches(None) == []
+
+
 def test_bins_grow_with_the_partition():
     sizes = [decontaminate.bins_for(30, 1 << k, 0.8) for k in range(5, 20)]
     assert sizes == sorted(sizes) and sizes[-1] > 100 * sizes[0]

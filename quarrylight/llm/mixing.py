@@ -46,14 +46,13 @@ def targets(
     every = W.partitionBy(F.lit(1))
     level = W.orderBy("__stop", F.col(source).isNull(), F.col(source).cast("binary"))
     before = level.rowsBetween(W.unboundedPreceding, -1)
-    after = level.rowsBetween(W.currentRow, W.unboundedFollowing)
     ranked = (
         sizes.withColumn("__w", weight)
         .withColumn("__cap", (F.col(size) * most).cast("long"))
         .withColumn("__stop", F.col("__cap") / F.col("__w"))
         .withColumn("__all", F.sum(size).over(every))
         .withColumn("__stopped", F.coalesce(F.sum("__cap").over(before), F.lit(0)))
-        .withColumn("__open", F.sum("__w").over(after))
+        .withColumn("__open", F.sum("__w").over(every) - F.coalesce(F.sum("__w").over(before), F.lit(0)))
         .withColumn("__rise", (F.col("__all") * share[0] / share[1] - F.col("__stopped")) / F.col("__open"))
     )
     # up to that level the rise grows from source to source, beyond it falls

@@ -107,7 +107,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", found:
         _by_number(found, lambda r: r.label).alias("label"), _by_number(found, lambda r: r.grade).alias("grade"),
     )
     order = W.partitionBy("row").orderBy("start", F.desc("end"), "grade", "number")
-    before, after = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing)
+    # The rows behind a place come from the opposite order, as Spark sums a frame from the start on in one pass.
+    back = W.partitionBy("row").orderBy(F.desc("start"), "end", F.desc("grade"), F.desc("number"))
+    before, after = order.rowsBetween(W.unboundedPreceding, -1), back.rowsBetween(W.unboundedPreceding, -1)
     grades = sorted(CONFIDENCE)
 
     def pick(of) -> Column:

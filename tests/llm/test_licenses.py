@@ -113,3 +113,9 @@ SPLIT = [
 def test_labels_of_split_rules(spark):
     got = licenses.scan(spark.createDataFrame([(n, text, "", 0) for n, (text, _) in enumerate(SPLIT)], SCHEMA)).collect()
     assert {r["doc_id"]: SPLIT[r["doc_id"]][1] in r["labels"].split(",") for r in got} == dict.fromkeys(range(len(SPLIT)), True)
+
+
+def test_many_places_in_one_text(spark):
+    text = "mit license, cc by; " * 4000
+    row = licenses.scan(spark.createDataFrame([(1, text, "", 0)], SCHEMA)).first()
+    assert (row["n_base"], row["first_word"], row["last_word"], row["base_labels"]) == (8000, 0, 15_998, "cc-by,mit")

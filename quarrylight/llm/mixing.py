@@ -162,6 +162,5 @@ def mix(
     rated = docs.join(side, docs[source_col].eqNullSafe(side["__mix_source"]))
     times = _copies(docs[id_col], seed, "__mix_rate", "__mix_draw")
     taken = rated.withColumn("__mix_copies", times).where("__mix_copies > 0")
-    return taken.withColumn("__mix_turn", F.explode(F.sequence(F.lit(1).cast("long"), "__mix_copies"))).select(
-        *[docs[c] for c in docs.columns]
-    )
+    copies = taken.withColumn("__mix_turn", F.explode(F.sequence(F.lit(1).cast("long"), "__mix_copies")))
+    return copies.drop(*side.columns, "__mix_copies", "__mix_turn")

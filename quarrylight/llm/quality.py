@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_within, spill
+from .words import quoted
 
 # Most labelled documents that a classifier is fitted on; of unlabelled ones all take part.
 FIT_ROWS = 10_000
@@ -65,7 +66,7 @@ def with_views(docs: DataFrame, text_col: str = "text", meta_columns: Sequence[s
     rows = Normalizer(inputCol="__q_counts", outputCol="__q_text").transform(hashed.transform(rows))
     inputs = [*figures, *groups]
     hasher = FeatureHasher(inputCols=inputs, outputCol="__q_meta", categoricalCols=list(groups), numFeatures=1 << META_BITS)
-    return hasher.transform(rows).select(*docs.columns, "__q_text", "__q_meta")
+    return hasher.transform(rows).select(*map(quoted, docs.columns), "__q_text", "__q_meta")
 
 
 @dataclass
@@ -221,7 +222,7 @@ def score(
     new = {"quality_score": "__q_score", "text_score": "__q_by_text", "meta_score": "__q_by_meta"}
     views = with_views(docs, text_col, options.get("meta_columns", META_COLUMNS))
     scored = model.score(views).withColumn("__q_kept", F.col("__q_score") >= keep)
-    own = [c for c in docs.columns if c not in {*new, "kept"}]
+    own = [quoted(c) for c in docs.columns if c not in {*new, "kept"}]
     return scored.select(*own, *[F.col(v).alias(k) for k, v in new.items()], F.col("__q_kept").alias("kept"))
 
 
@@ -229,4 +230,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """The rows of ``docs`` that :func:`score` keeps, with their columns alone."""
     model = co_train(docs, labels, id_col, text_col, **options)
     views = with_views(docs, text_col, options.get("meta_columns", META_COLUMNS))
-    return model.score(views).where(F.col("__q_score") >= keep).select(*docs.columns)
+    return model.score(views).where(F.col("__q_score") >= keep).select(*map(quoted, docs.columns))

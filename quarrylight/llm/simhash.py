@@ -265,4 +265,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     winners = spill(heads.select(F.col("head.r1").alias("__row_1"), F.col("head.r2").alias("__row_2")), "kept")
     first, second = row(docs)
     once = docs.withColumn("__row_1", first).withColumn("__row_2", second).dropDuplicates(["__row_1", "__row_2"])
-    return once.join(winners, ["__row_1", "__row_2"], "left_semi").select(*docs.columns)
+    return once.join(winners, ["__row_1", "__row_2"], "left_semi").drop("__row_1", "__row_2")

@@ -90,6 +90,8 @@ def sequences_at(slot: np.ndarray, n: int, seed: int = SEED) -> np.ndarray:
 def _encoding(name: str) -> tiktoken.Encoding:
     with open(SparkFiles.get(name), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    if END in ranks.values() or max(ranks.values()) >= 1 << 8 * WIDTH:
+        raise ValueError(f"{name}: ids must fit {WIDTH} bytes and leave {END} free for the end of a document")
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 

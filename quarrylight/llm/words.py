@@ -15,6 +15,11 @@ _PLAIN = bytes(
 )
 
 
+def quoted(name: str) -> str:
+    """A column name that may hold dots or backticks, as Spark's functions take it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def plain_words(data: bytes | None) -> Iterator[list[bytes]]:
     """Words of a UTF-8 text, block by block: runs of ASCII letters and digits and of all other characters."""
     data, start = data or b"", 0

@@ -233,3 +233,54 @@ def test_small_shards_and_groups_of_queries_change_nothing(spark, zipf):
 def test_empty_index_has_no_hits(spark):
     index = build_index(chunk_rows(spark, [""]), scratch_path(spark, "none"))
     assert sparse_arm(index, queries(spark, "granite"), 5).count() == 0 and index.postings.count() == 0
+
+
+@pytest.mark.parametrize("limit", [100, 4])
+def test_short_queries_never_meet_the_product_of_all_vectors(spark, limit):
+    """Queries with few components take the same rows from the vectors that hold them, zero scores included."""
+    rng = np.random.default_rng(4)
+    items = np.where(rng.random((300, 24)) < 0.1, rng.choice([-0.5, 0.25, 0.5, 1.0], size=(300, 24)), 0.0)
+    items[::4] = items[1]
+    asks = np.zeros((14, 24))
+    for i in range(12):
+        asks[i, rng.choice(24, size=1 + i % 4, replace=False)] = rng.choice([-1.0, 0.5, 1.0], size=1 + i % 4)
+    asks[13] = rng.normal(size=24).round(1)  # one long query beside them, and one that is all zero
+    vecs = spark.createDataFrame(
+        [(f"i{i:03d}", [float(x) for x in v]) for i, v in enumerate(items)], "chunk_id string, vector array<float>"
+    ).repartition(3)
+    for some in (range(13), range(14)):
+        qs = spark.createDataFrame([(f"q{q}", [float(x) for x in asks[q]]) for q in some], "query_id string, vector array<float>")
+        got = {(r["query_id"], r["rank"]): (r["chunk_id"], r["score"]) for r in dense.dense_topk(vecs, qs, 40, max_batch=limit).collect()}
+        sims = np.round(asks.astype(np.float32).astype(float) @ items.T, 6) + 0.0
+        for q in some:
+            order = sorted(range(300), key=lambda i: (-sims[q, i], f"i{i:03d}"))[:40]
+            assert [got[f"q{q}", r] for r in range(1, 41)] == [(f"i{i:03d}", pytest.approx(sims[q, i], abs=1e-6)) for i in order]
+
+
+def test_short_queries_use_the_lists_of_their_components(monkeypatch):
+    """300 short queries over 9,000 vectors: no product with all vectors where positive scores suffice."""
+    rng = np.random.default_rng(6)
+    items = np.where(rng.random((9000, 32)) < 0.1, rng.random((9000, 32)), 0.0)
+    asks = np.zeros((300, 32))
+    for row in asks:
+        row[rng.choice(32, size=2, replace=False)] = 0.5
+    names = np.array([f"i{i:05d}" for i in range(9000)], dtype=object)
+    q, v, s = dense.block_top(asks, items, 10)
+    monkeypatch.setattr(dense, "block_top", None)
+    found = dense._Short(asks, 10)
+    for first in range(0, 9000, 3000):
+        found.add(names[first : first + 3000], items[first : first + 3000])
+    for i in range(300):
+        assert [n for _, n in found.best[i]] == list(names[v[q == i]])
+
+
+def test_few_rare_words_are_added_up_whole(spark, zipf, monkeypatch):
+    index, texts = zipf
+    batch = queries(spark, "w0 w1", "w3 w900", "w2", "the w7 w8 w9", "w5 unheard")
+    scores = sparse.bm25_scores(
+        sparse.query_terms(batch.frame), index.postings, index.table("term_stats"), index.stats["n_chunks"], index.average_length
+    )
+    expected = sorted(tuple(r) for r in sparse.top_by_query(scores, 30).select("query_id", "rank", "chunk_id", "score").collect())
+    assert sorted(tuple(r) for r in sparse_arm(index, batch, 30).collect()) == expected
+    report = {r["query_id"]: r for r in pruning_report(index, batch, 1).collect()}
+    assert report["q2"]["postings_read"] == report["q2"]["postings"] > 0

@@ -2,12 +2,15 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarrylight.contracts import CHUNK
 from quarrylight.operators import blocks, dense, sparse
 from quarrylight.operators.embed import get_embedder
 from quarrylight.operators.fusion import reciprocal_rank_fusion
-from quarrylight.plans.index import build_index
+from quarrylight.functions import text as tx
+from quarrylight.functions.counts import SETTLED, counted_chunks
+from quarrylight.plans.index import build_index, lazy_index
 from quarrylight.plans.multi import multi_query_search, subqueries
 from quarrylight.plans.search import QueryBatch, hybrid_search, pruning_report, search_hits, sparse_arm
 from quarrylight.recipe import SearchSettings
@@ -284,3 +287,29 @@ def test_few_rare_words_are_added_up_whole(spark, zipf, monkeypatch):
     assert sorted(tuple(r) for r in sparse_arm(index, batch, 30).collect()) == expected
     report = {r["query_id"]: r for r in pruning_report(index, batch, 1).collect()}
     assert report["q2"]["postings_read"] == report["q2"]["postings"] > 0
+
+
+def test_chunks_counted_together_equal_the_column_functions(spark):
+    texts = [
+        "The granite-block granite 3rd an AN", "", "  ", "Straße ÄÖÜ İstanbul I\u0307 naïve café", "Ωμέγα ΟΔΟΣ ΣΑΣ. Σ", "Привет МИР мир-мир",
+        "岩石 岩 石1", "नमस्ते दुनिया", "\U0001f600 smile x\u0301 \u2160\u00b2 ½", "a\u2028b it's re-use a1-b2 -- --x 123 12a", "E\u0301 ǅ ŉ ﬁ K",
+    ] + [" ".join(f"W{i % 7} tail{i % 13}" for i in range(60))]
+    rows = chunk_rows(spark, texts).union(chunk_rows(spark, ["x"]).withColumn("text", F.lit(None).cast("string")))
+    assert 0 < rows.filter(F.col("text").rlike(SETTLED)).count() < rows.count()
+    one = tx.with_term_counts(tx.with_keywords(rows, "text", 4), "text", search=True)
+    want = one.select("chunk_id", (F.length("text") > 0).alias("has_text"), "terms", F.aggregate("terms", F.lit(0), lambda s, t: s + t["n"]).alias("dl"), "keywords")
+    got = counted_chunks(rows, 4).select(want.columns)
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(got) == key(want)
+
+
+def test_a_lazy_index_writes_only_what_is_asked_for(spark):
+    rows = chunk_rows(spark, ["granite resists frost", "granite needs water"])
+    lazy, whole = (make(rows, scratch_path(spark, "test")) for make in (lazy_index, build_index))
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(lazy.table("term_stats")) == key(whole.table("term_stats"))
+    assert lazy.built == {"chunks", "terms", "term_stats"}
+    for name in ("chunks", "terms", "stats", "shards", "vectors"):
+        assert key(lazy.table(name)) == key(whole.table(name))
+    assert key(lazy.postings) == key(blocks.postings_of(whole.table("shards")))
+    assert "Exchange" not in lazy.postings._jdf.queryExecution().executedPlan().toString()

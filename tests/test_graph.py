@@ -200,3 +200,24 @@ def test_graph_hits_carry_payload_and_facts(spark, corpus):
 def test_missing_graph_gives_empty(spark):
     batch = QueryBatch.bounded(spark.createDataFrame([("q", "a")], "query_id string, question string"), 1)
     assert graph_search(None, batch).ranked.count() == 0
+
+
+def test_full_queries_are_decided_by_bounds_or_counted(spark):
+    """Largest concept decides one query, the sum another; two need a count, of which one has shared chunks."""
+    places = [("a", f"k{i}") for i in range(6)] + [(c, f"{c}{i}") for c in "bcd" for i in range(2)] + [("e", "b0"), ("e", "b1"), ("b", "b1")]
+    inc = spark.createDataFrame(places, "concept string, chunk_id string")
+    seen = [("one", "a"), ("two", "b"), ("two", "c"), ("many", "b"), ("many", "c"), ("many", "d"), ("shared", "b"), ("shared", "c"), ("shared", "e")]
+    visited = spark.createDataFrame(seen, "query_id string, concept string")
+    assert sorted(r[0] for r in X._full(visited, inc, 5).collect()) == ["many", "one"]
+    whole = visited.join(inc, "concept").groupBy("query_id").agg(F.count_distinct("chunk_id").alias("n"))
+    for budget in range(1, 8):
+        want = sorted(r[0] for r in whole.filter(F.col("n") >= budget).collect())
+        assert sorted(r[0] for r in X._full(visited, inc, budget).collect()) == want
+
+
+def test_cooccurrence_shuffles_rows_and_pairs_once(spark):
+    data = [(c, len(c), f"k{k}", None if k == 3 else f"d{k % 2}") for k in range(5) for c in ("x", "y", "zz")[: 2 + k % 2]]
+    pairs = C.cooccurrence(spark.createDataFrame(data, "concept string, freq int, chunk_id string, doc_id string"))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert sorted(map(tuple, pairs.collect())) == [("x", "y", 5, 2), ("x", "zz", 2, 1), ("y", "zz", 2, 1)]

@@ -68,3 +68,11 @@ def test_cases(spark, fitted):
     assert all(not rows[i].any() for i in (1, 2, 3)) and abs(np.linalg.norm(rows[4]) - 1) < 1e-5
     none = build_index(chunk_rows(spark, ["alone", ""]), scratch_path(spark, "semantic"))
     assert semantic.fit(none.table("terms"), none.table("term_stats"), 2) is None
+
+
+def test_tfidf_shuffles_whole_chunks_once(spark):
+    index = build_index(chunk_rows(spark, ["a b b", "a c", "b c c d", ""]), scratch_path(spark, "semantic"))
+    words = semantic.vocabulary(index.table("term_stats"), 4)
+    plan = semantic.tfidf(index.table("terms"), words, 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.index("Exchange hashpartitioning") > plan.index("Generate explode(terms")

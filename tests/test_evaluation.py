@@ -10,7 +10,7 @@ from quarrylight.evaluation import metrics as M
 from quarrylight.evaluation import probes as P
 from quarrylight.plans.evaluation import decide, run_eval, write_report
 from quarrylight.plans.experiment import run_experiments, score_external
-from quarrylight.plans.index import build_index
+from quarrylight.plans.index import build_index, lazy_index
 from quarrylight.recipe import EvalSettings
 from quarrylight.session import scratch_path
 
@@ -146,3 +146,29 @@ def test_verdict(spark):
     assert of(0.5, 0.4) == "graph BEATS multi-query (0.5000 vs 0.4000, +0.1000)"
     assert of(0.4, 0.4) == "graph TIES multi-query (0.4000 vs 0.4000)"
     assert of(None, 0.25) == "graph LOSES to multi-query (0.0000 vs 0.2500, -0.2500)"
+
+
+def test_gold_is_looked_up_by_the_rarest_word(spark):
+    from catalog.evaluate import covering_chunks
+    from test_search import chunk_rows
+
+    texts = ["stone the old mill", "the old stone", "mill the old river stone", "river the old", "THE OLD Stone mill"]
+    index = lazy_index(chunk_rows(spark, texts), scratch_path(spark, "gold"))
+    asked = [("a", "the old stone"), ("b", "stone the mill"), ("c", "the old"), ("d", "the old dragon"), ("e", "river the old"), (None, "the old stone")]
+    found = covering_chunks(index, spark.createDataFrame(asked, "id string, opening string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    want = [
+        (q, f"c{i}") for q, o in asked for i, t in enumerate(texts, 1)
+        if q and len(o.split()) >= 3 and set(o.split()) <= set(t.lower().split())
+    ]
+    assert sorted(tuple(r) for r in found.collect()) == want
+    # Chunks are held against all words before anything is shuffled.
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.rindex("forall") > plan.index("Exchange hashpartitioning")
+    assert index.built == {"chunks", "terms", "term_stats"}
+
+
+def test_local_probes_count_no_other_chunks(spark):
+    from test_search import chunk_rows
+
+    index = lazy_index(chunk_rows(spark, [f"stone mill river gate w{i}" for i in range(9)]), scratch_path(spark, "local"))
+    assert P.local_probes(index, 5).count() == 5 and index.built == {"chunks"}

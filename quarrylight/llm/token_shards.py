@@ -9,12 +9,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 import xxhash
 from pyspark import SparkFiles, TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, ship_package, spill
@@ -35,6 +35,8 @@ WIDTH = 2  # bytes of an id
 TERMINATOR = "\n"
 # Characters that are given to the tokenizer at a time, cut before a space.
 PIECE = 1 << 18
+# Bytes of text whose distinct words are encoded together.
+BLOCK = 1 << 22
 
 
 # The permutation
@@ -87,12 +89,12 @@ def sequences_at(slot: np.ndarray, n: int, seed: int = SEED) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def _encoding(name: str) -> tiktoken.Encoding:
+def _vocabulary(name: str) -> Vocabulary:
     with open(SparkFiles.get(name), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     if END in ranks.values() or max(ranks.values()) >= 1 << 8 * WIDTH:
         raise ValueError(f"{name}: ids must fit {WIDTH} bytes and leave {END} free for the end of a document")
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return Vocabulary(tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), ranks)
 
 
 def pieces(text: str) -> Iterator[str]:
@@ -108,17 +110,117 @@ def pieces(text: str) -> Iterator[str]:
         yield text[at:]
 
 
-def _tokens(encoding: tiktoken.Encoding, text: str | None) -> Iterator[np.ndarray]:
-    for piece in pieces(text or ""):
-        yield encoding.encode_to_numpy(piece, disallowed_special=()).astype(np.uint16)
-    yield np.array([END], np.uint16)
+class Vocabulary:
+    """Ids of many texts at a time: every distinct word of a block is encoded once."""
+
+    def __init__(self, encoding: tiktoken.Encoding, ranks: dict[bytes, int]):
+        self.encoding = encoding
+        self.bytes_of = np.zeros(1 << 8 * WIDTH, np.int64)
+        self.bytes_of[list(ranks.values())] = [len(k) for k in ranks]
+
+    def _one(self, word: bytes) -> np.ndarray:
+        found = [self.encoding.encode_to_numpy(p, disallowed_special=()) for p in pieces(word.decode())]
+        return np.concatenate(found).astype(np.uint16) if found else np.zeros(0, np.uint16)
+
+    def _encoded(self, words: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, one word after the other, and how many each has.
+
+        Words that start with a space and stand between cuts are encoded as one text, where the pattern cuts them again.
+        """
+        data, ends = _bytes_of(words)
+        sizes = np.diff(ends)
+        plain = sizes > 1
+        first, last = ends[:-1][plain], ends[1:][plain]
+        plain[plain] = (data[first] == 32) & _before(data, last) & _after(data, first + 1)
+        counts, found = np.zeros(len(words), np.int64), []
+        for at in np.flatnonzero(~plain).tolist():
+            found.append((np.array([at]), self._one(data[ends[at] : ends[at + 1]].tobytes())))
+            counts[at] = len(found[-1][1])
+        rest = np.flatnonzero(plain)
+        groups = np.cumsum(sizes[rest]) // PIECE
+        for some in np.split(rest, np.flatnonzero(np.diff(groups)) + 1):
+            if len(some) == 1:
+                ids = self._one(data[ends[some[0]] : ends[some[0] + 1]].tobytes())
+                counts[some] = len(ids)
+            elif len(some):
+                joined, at = _bytes_of(words.take(pa.array(some)))
+                text = joined[at[0] : at[-1]].tobytes().decode()
+                ids = self.encoding.encode_to_numpy(text, disallowed_special=()).astype(np.uint16)
+                stops = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(sizes[some])) + 1
+                counts[some] = np.diff(np.append(0, stops))
+            else:
+                continue
+            found.append((some, ids))
+        starts = np.cumsum(counts) - counts
+        out = np.zeros(int(counts.sum()), np.uint16)
+        for some, ids in found:
+            out[np.repeat(starts[some] - np.cumsum(counts[some]) + counts[some], counts[some]) + np.arange(len(ids))] = ids
+        return out, counts
+
+    def ids(self, texts: pa.Array, counts_alone: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """How many ids each text has with its end id, and all ids one after the other."""
+        data, edges = _bytes_of(texts.cast(pa.binary()).fill_null(b""))
+        space = np.flatnonzero(data[edges[0] : edges[-1]] == 32) + edges[0]
+        space = space[(space > edges[0]) & (space < edges[-1] - 1)]
+        space = space[_before(data, space) & _after(data, space + 1)]
+        cut = np.zeros(edges[-1] + 1 - edges[0], bool)
+        cut[space - edges[0]] = cut[edges - edges[0]] = True
+        cuts = (np.flatnonzero(cut) + edges[0]).astype(np.int32)
+        words = pa.BinaryArray.from_buffers(
+            pa.binary(), max(0, len(cuts) - 1), [None, pa.py_buffer(cuts), pa.py_buffer(data)]
+        ).dictionary_encode()
+        ids, counts = self._encoded(words.dictionary)
+        at = words.indices.to_numpy()
+        stops = np.searchsorted(cuts, edges)
+        each = np.append(0, np.cumsum(counts[at]))[stops]
+        sizes = np.diff(each) + 1
+        if counts_alone:
+            return sizes, None
+        # The end id is a word of its own behind each text.
+        at = np.insert(at, stops[1:], len(counts))
+        starts = np.append(np.cumsum(counts) - counts, len(ids))
+        counts = np.append(counts, 1)
+        taken = counts[at]
+        where = np.repeat((starts[at] - np.cumsum(taken) + taken).astype(np.int64), taken)
+        where += np.arange(len(where))
+        return sizes, np.append(ids, np.uint16(END))[where]
+
+
+def _bytes_of(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes below a binary array and the places where its values start and end."""
+    _, offsets, data = values.buffers()
+    ends = np.frombuffer(offsets, np.int32)[values.offset : values.offset + len(values) + 1] if offsets and len(values) else np.zeros(1, np.int32)
+    return np.frombuffer(data, np.uint8) if data and data.size else np.zeros(0, np.uint8), ends
+
+
+def _before(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether what ends at a place is surely no white space; white space beyond ASCII starts with these bytes."""
+    return (
+        (data[at - 1] > 32) & (data[np.maximum(at - 2, 0)] != 0xC2) & ~np.isin(data[np.maximum(at - 3, 0)], (0xE1, 0xE2, 0xE3))
+    )
+
+
+def _after(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether what starts at a place is surely no white space."""
+    return (data[at] > 32) & ~np.isin(data[at], (0xC2, 0xE1, 0xE2, 0xE3))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in blocks of about ``BLOCK`` bytes of text, one row at least."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        groups = (np.cumsum(sizes, dtype=np.int64) - sizes) // BLOCK
+        edges = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), batch.num_rows]
+        for first, stop in zip(edges, edges[1:]):
+            if stop > first:
+                yield batch.slice(first, stop - first)
 
 
 def _counted(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
     """(id, part, first token in the part, tokens) of every document of a partition."""
-    part, at, encoding = TaskContext.get().partitionId(), 0, _encoding(name)
-    for batch in batches:
-        sizes = np.array([sum(map(len, _tokens(encoding, t.as_py()))) for t in batch.column(1)], np.int64)
+    part, at, vocabulary = TaskContext.get().partitionId(), 0, _vocabulary(name)
+    for batch in _blocks(batches):
+        sizes, _ = vocabulary.ids(batch.column(1), counts_alone=True)
         first = at + np.cumsum(sizes) - sizes
         at += int(sizes.sum())
         part_no = pa.array(np.full(len(sizes), part, np.int32))
@@ -127,20 +229,14 @@ def _counted(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.Record
 
 def _packed(batches: Iterator[pa.RecordBatch], name: str, length: int) -> Iterator[np.ndarray]:
     """Blocks of sequences of a partition: documents one after the other, the last sequence padded."""
-    encoding, held, size = _encoding(name), [], 0
-    for batch in batches:
-        for text in batch.column(1):
-            for ids in _tokens(encoding, text.as_py()):
-                held.append(ids)
-                size += len(ids)
-            if size >= 256 * length:
-                flat = np.concatenate(held)
-                whole = size // length * length
-                yield flat[:whole].reshape(-1, length)
-                held, size = [flat[whole:]], size - whole
-    if size:
-        flat = np.concatenate(held)
-        yield np.concatenate([flat, np.full(-len(flat) % length, END, np.uint16)]).reshape(-1, length)
+    vocabulary, rest = _vocabulary(name), np.zeros(0, np.uint16)
+    for batch in _blocks(batches):
+        rest = np.append(rest, vocabulary.ids(batch.column(1))[1])
+        for first in range(0, len(rest) // length * length, 256 * length):
+            yield rest[first : min(first + 256 * length, len(rest) // length * length)].reshape(-1, length)
+        rest = rest[len(rest) // length * length :].copy()
+    if len(rest):
+        yield np.append(rest, np.full(-len(rest) % length, END, np.uint16)).reshape(-1, length)
 
 
 def _placed(batches, name: str, length: int, bases, total: int, seed: int) -> Iterator[pa.RecordBatch]:
@@ -156,12 +252,11 @@ def _placed(batches, name: str, length: int, bases, total: int, seed: int) -> It
 # Writing and reading
 
 
-def _slot_column(index: Column, total: int, seed: int) -> Column:
-    @F.pandas_udf("long")
-    def of(values: pd.Series) -> pd.Series:
-        return pd.Series(slots(values.to_numpy(), total, seed))
-
-    return of(index)
+def _with_slots(batches: Iterator[pa.RecordBatch], total: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """Rows (id, sequence) with the slots of the sequences."""
+    for batch in batches:
+        slot = slots(batch.column(1).to_numpy(), total, seed)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(slot)], [*batch.schema.names, "slot"])
 
 
 def write_shards(
@@ -222,8 +317,10 @@ def write_shards(
         "id", (F.col("base") + F.floor(F.col("first") / length)).alias("low"),
         (F.col("base") + F.floor((F.col("first") + F.col("tokens") - 1) / length)).alias("high"),
     )
-    pairs = ends.select(F.col("id").alias(id_col), F.explode(F.sequence("low", "high")).alias("sequence"))
-    return pairs.withColumn("slot", _slot_column(F.col("sequence"), total, seed))
+    pairs = ends.select("id", F.explode(F.sequence("low", "high")).alias("sequence"))
+    # In Arrow like all other steps here: for a pandas function executors would keep workers of another kind besides.
+    placed = pairs.mapInArrow(lambda b: _with_slots(b, total, seed), f"id {kind}, sequence long, slot long")
+    return placed.withColumnRenamed("id", id_col)
 
 
 def meta(spark: SparkSession, path: str):

@@ -1,7 +1,9 @@
 import base64
 import os
+import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -81,3 +83,36 @@ def test_empty_table(spark):
     assert T.training_order(spark.createDataFrame([], SCHEMA), stored=False).count() == 0
     one = spark.range(1).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"))
     assert [r["n_tokens"] for r in T.training_order(one, stored=False).collect()] == [0]
+
+
+def test_distinct_words_give_the_tokens_of_whole_texts(monkeypatch):
+    rng = random.Random(4)
+    signs = [*"ab  \n\t 　  \x1c\x85é üж日本'sTt12!?«", "'ll", " the ", "\U0001f600"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(2000)] + ["", None, " ", "x" * 600, " lead", "trail "]
+    ours = encoding()
+    want = [[*ours.encode_ordinary(t or ""), T.END] for t in texts]
+    with open(T.VOCABULARY, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    vocabulary = T.Vocabulary(ours, ranks)
+    monkeypatch.setattr(T, "PIECE", 300)
+    monkeypatch.setattr(T, "BLOCK", 5000)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    blocks = [vocabulary.ids(b.column(1)) for b in T._blocks([batch])]
+    assert len(blocks) > 3
+    assert np.concatenate([n for n, _ in blocks]).tolist() == [len(w) for w in want]
+    assert np.concatenate([ids for _, ids in blocks]).tolist() == [i for w in want for i in w]
+    assert vocabulary.ids(pa.array([], pa.string()))[0].tolist() == []
+
+
+def test_a_word_is_encoded_once_however_often_it_stands(monkeypatch):
+    ours, given = encoding(), []
+
+    class Counting:
+        def encode_to_numpy(self, text, **options):
+            given.append(len(text))
+            return ours.encode_to_numpy(text, **options)
+
+    with open(T.VOCABULARY, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    sizes, _ = T.Vocabulary(Counting(), ranks).ids(pa.array(["some frequent words " * 500] * 100))
+    assert sum(given) < 1000 and len(set(sizes.tolist())) == 1

@@ -10,8 +10,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..session import ship_package, spill
 
@@ -140,9 +141,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, ``code``, ``first``, ``stop``, ``source_id``) of every span that stands elsewhere before.
 
     ``code`` is the hash of the text, ``source_id`` the document of the first place. Places are ordered by
-    id (null last), text hash and sentence, over the whole table. The first place and the
-    number of places of a span come from one aggregate, combined before its shuffle; the
-    places then join it, which Spark can split where one span stands in very many documents.
+    id (null last), text hash and sentence, over the whole table. They are shuffled once, as numbers, and neither
+    written nor joined: a window over the places of a span has the first one. The places of one span meet in one task,
+    which sorts them outside its memory.
     With ``ends`` the shortest spans that end at each sentence count too.
     """
     ship_package(docs.sparkSession)
@@ -150,15 +151,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("code"), F.col(text_col).cast("binary").alias("text")
     )
     kind = texts.schema["id"].dataType.simpleString()
-    places = spill(
-        texts.mapInArrow(partial(_spans_of_rows, of=ending_spans if ends else spans), f"id {kind}, code long, first int, stop int, h1 long, h2 long"), "spans"
-    )
-    # Most spans stand once. Half of the digest tells which may stand twice; only those go on.
-    likely = places.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1")
-    places = spill(places.join(likely, "h1"), "repeated")
-    place = F.struct(F.col("id").isNull().alias("late"), F.col("id"), F.col("code"), F.col("first"))
-    heads = places.groupBy("h1", "h2").agg(F.min(place).alias("head"), F.count("*").alias("n")).where("n > 1")
-    later = places.join(heads.select("h1", "h2", "head"), ["h1", "h2"]).where(
+    schema = f"id {kind}, code long, first int, stop int, h1 long, h2 long"
+    places = texts.mapInArrow(partial(_spans_of_rows, of=ending_spans if ends else spans), schema)
+    order = W.partitionBy("h1", "h2").orderBy(F.col("id").asc_nulls_last(), "code", "first")
+    later = places.withColumn("head", F.first(F.struct("id", "code", "first")).over(order)).where(
         ~(F.col("id").eqNullSafe(F.col("head.id")) & (F.col("code") == F.col("head.code")) & (F.col("first") == F.col("head.first")))
     )
     return later.select("id", "code", "first", "stop", F.col("head.id").alias("source_id"))
@@ -199,31 +195,35 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     from each sentence is looked at, which leaves short last sentences of a passage.
     """
     found = repeated_spans(docs, id_col, text_col, ends)
-    spots = found.groupBy("id", "code").agg(
-        F.collect_set(F.struct("first", "stop")).alias("__spots"), F.collect_set("source_id").alias("__sources")
-    ).withColumnsRenamed({"id": "__id", "code": "__code"})
+    spots = spill(
+        found.groupBy("id", "code").agg(
+            F.collect_set(F.struct("first", "stop")).alias("__spots"), F.collect_set("source_id").alias("__sources")
+        ).withColumnsRenamed({"id": "__id", "code": "__code"}),
+        "spots",
+    )
 
     @F.pandas_udf("text binary, words long, sentences long")
     def rest(texts: pd.Series, spots: pd.Series) -> pd.DataFrame:
         out = []
         for text, spot in zip(texts, spots):
-            if text is None or spot is None:
-                out.append((text, 0, 0))
-            else:
-                firsts, stops = [s["first"] for s in spot], [s["stop"] for s in spot]
-                out.append((*_without(text, firsts, stops), sum(b - a for a, b in merged(firsts, stops))))
+            firsts, stops = [s["first"] for s in spot], [s["stop"] for s in spot]
+            out.append((*_without(text, firsts, stops), sum(b - a for a, b in merged(firsts, stops))))
         return pd.DataFrame(out, columns=["text", "words", "sentences"])
 
     own = docs.withColumn("__own", F.xxhash64(docs[text_col]))
     joined = own.join(spots, own[id_col].eqNullSafe(spots["__id"]) & (own["__own"] == spots["__code"]), "left")
-    marked = joined.withColumn("__rest", rest(F.col(text_col).cast("binary"), F.col("__spots")))
+    # Only texts with spans go through Python, once: a filter on the result must not call it again.
+    hit, plain = joined.where("__spots IS NOT NULL"), joined.where("__spots IS NULL")
+    marked = hit.withColumn("__rest", rest.asNondeterministic()(F.col(text_col).cast("binary"), F.col("__spots")))
     new = {"removed_sentences", "removed_words", "source_ids"}
-    columns = [
-        F.col("__rest.text").cast("string").alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in new
-    ]
-    return marked.select(
-        *columns,
-        F.col("__rest.sentences").alias("removed_sentences"),
-        F.col("__rest.words").alias("removed_words"),
-        F.array_sort(F.coalesce("__sources", F.array().cast(spots.schema["__sources"].dataType))).alias("source_ids"),
-    )
+
+    def result(rows: DataFrame, text: Column, n_sentences: Column, n_words: Column, sources: Column) -> DataFrame:
+        columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in new]
+        return rows.select(
+            *columns, n_sentences.alias("removed_sentences"), n_words.alias("removed_words"), sources.alias("source_ids")
+        )
+
+    none, zero = F.array().cast(spots.schema["__sources"].dataType), F.lit(0).cast("long")
+    return result(
+        marked, F.col("__rest.text").cast("string"), F.col("__rest.sentences"), F.col("__rest.words"), F.array_sort("__sources")
+    ).union(result(plain, F.col(text_col), zero, zero, none))

@@ -131,3 +131,20 @@ def test_scripts_without_spaces_count_signs():
     passage = signs(12) + "\u3002" + signs(14) + "\u3002"
     n, text = covered(signs(7) + "\u3002" + passage, signs(9) + "\uff01" + passage + signs(5))
     assert n == 28 and text.decode().replace(" ", "") == passage
+
+
+def test_spans_are_shuffled_once_and_texts_go_through_python_once(spark):
+    docs = spark.createDataFrame(corpus(2), "doc_id long, text string")
+    plan = substrings.repeated_spans(docs, ends=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and plan.count("MapInArrow") == 1
+    rest = substrings.remove_repeats(docs, ends=True).where("removed_sentences > 0")
+    assert rest._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r["doc_id"] for r in rest.collect()} == {d for d, _, n in naive(corpus(2)) if n}
+
+
+def test_one_span_in_all_documents(spark):
+    rng = random.Random(12)
+    passage = " ".join(sentence(rng, 15) for _ in range(3))
+    docs = spark.createDataFrame([(d, passage) for d in [None, *range(20_000)]], "doc_id long, text string")
+    rows = substrings.remove_repeats(docs.repartition(4), ends=True).groupBy("removed_sentences", "source_ids").count().collect()
+    assert {(r[0], tuple(r[1])): r[2] for r in rows} == {(0, ()): 1, (3, (0,)): 20_000}

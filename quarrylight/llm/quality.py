@@ -29,39 +29,48 @@ HELD_OUT = 4
 META_COLUMNS = ("source", "lang")
 
 
-def _text_tokens(text: Column) -> Column:
-    """Runs of letters, digits and other signs in lower case, and the shapes of the words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("\\p{L}+|\\p{N}+|[^\\p{L}\\p{N}\\s]+"), F.lit(0))
+def _text_tokens(words: Column) -> Column:
+    """Runs of letters, digits and other signs in lower case, and the shapes of the words, of an array of words.
+
+    Neither spans white space, so those of a text's distinct words are those of the text.
+    """
+    text = F.array_join(words, " ")
+    runs = F.regexp_extract_all(F.lower(text), F.lit("\\p{L}+|\\p{N}+|[^\\p{L}\\p{N}\\s]+"), F.lit(0))
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "\\p{Lu}+", "A"), "[\\p{L}&&[^A]]+", "a"), "\\p{N}+", "0")
-    return F.concat(words, F.transform(F.split(shape, "\\s+"), lambda s: F.concat(F.lit("shape "), F.substring(s, 1, 12))))
+    shapes = F.array_distinct(F.split(shape, "\\s+"))
+    return F.concat(F.array_distinct(runs), F.transform(shapes, lambda s: F.concat(F.lit("shape "), F.substring(s, 1, 12))))
 
 
-def _page_figures(text: Column) -> dict[str, Column]:
-    """Layout figures of a page."""
+def _page_figures(text: Column, words: Column, distinct: Column, signs: Column) -> dict[str, Column]:
+    """Layout figures of a page, of its words and of what is left of it without letters."""
     chars = F.greatest(F.length(text), F.lit(1))
-    share = lambda pattern: F.length(F.regexp_replace(text, f"[^{pattern}]+", "")) / chars
-    lines, words = F.split(text, "\n"), F.split(text, "\\s+")
+    less = lambda whole, pattern: F.length(whole) - F.length(F.regexp_replace(whole, f"{pattern}+", ""))
+    lines = F.split(text, "\n")
     return {
         "chars": F.log1p(F.length(text).cast("double")),
         "lines": F.log1p(F.size(lines).cast("double")),
         "line_length": F.log1p(chars / F.size(lines)),
         "line_repeats": F.lit(1.0) - F.size(F.array_distinct(lines)) / F.size(lines),
-        "word_variety": F.size(F.array_distinct(words)) / F.sqrt(F.size(words).cast("double")),
+        "word_variety": F.size(distinct) / F.sqrt(F.size(words).cast("double")),
         "word_length": chars / F.size(words),
-        "upper": share("\\p{Lu}"),
-        "digits": share("\\p{N}"),
-        "letters": share("\\p{L}"),
-        "space": share("\\s"),
+        "upper": less(text, "\\p{Lu}") / chars,
+        "digits": less(signs, "\\p{N}") / chars,
+        "letters": (F.length(text) - F.length(signs)) / chars,
+        "space": less(signs, "\\s") / chars,
     }
 
 
 def with_views(docs: DataFrame, text_col: str = "text", meta_columns: Sequence[str] = META_COLUMNS) -> DataFrame:
     """``docs`` with the vectors ``__q_text`` and ``__q_meta``; null texts and metadata count as empty."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    rows = docs.withColumn("__q_body", text)
-    figures = {f"__q_{k}": v for k, v in _page_figures(F.col("__q_body")).items()}
+    rows = docs.withColumn("__q_body", text).withColumns({
+        "__q_words": F.split("__q_body", "\\s+"), "__q_signs": F.regexp_replace("__q_body", "\\p{L}+", ""),
+    })
+    rows = rows.withColumn("__q_distinct", F.array_distinct("__q_words"))
+    parts = (F.col(f"__q_{c}") for c in ("body", "words", "distinct", "signs"))
+    figures = {f"__q_{k}": v for k, v in _page_figures(*parts).items()}
     groups = {f"__q_{c}": F.coalesce(docs[c].cast("string"), F.lit("")) for c in meta_columns if c in docs.columns}
-    rows = rows.withColumns({"__q_tokens": _text_tokens(F.col("__q_body")), **figures, **groups})
+    rows = rows.withColumns({"__q_tokens": _text_tokens(F.col("__q_distinct")), **figures, **groups})
     hashed = HashingTF(inputCol="__q_tokens", outputCol="__q_counts", numFeatures=1 << TEXT_BITS, binary=True)
     rows = Normalizer(inputCol="__q_counts", outputCol="__q_text").transform(hashed.transform(rows))
     inputs = [*figures, *groups]
@@ -141,15 +150,18 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, f
     return spill(present.orderBy(F.xxhash64(F.lit(SEED), "__q_id"), "__q_id").limit(fit_rows), "labelled")
 
 
-def _viewed(docs: DataFrame, chosen: DataFrame, fit_rows: int, id_col: str, text_col: str, meta_columns: Sequence[str]) -> DataFrame:
-    """(``__q_id``, ``__q_y``, ``__q_order``, ``__q_text``, ``__q_meta``) of all documents; those of ``chosen`` have a label."""
-    columns = [c for c in dict.fromkeys([text_col, *meta_columns]) if c in docs.columns]
-    rows = docs.select(F.col(id_col).alias("__q_id"), *columns)
-    rows = rows.join(broadcast_within(chosen, fit_rows), "__q_id", "left")
-    content = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+def _viewed(
+    docs: DataFrame, columns: Sequence[str], chosen: DataFrame, fit_rows: int, id_col: str, text_col: str, meta_columns: Sequence[str]
+) -> DataFrame:
+    """``columns`` of all documents with ``__q_id``, ``__q_y``, ``__q_order`` and both views, written once for the fit and the scores.
+
+    Those of ``chosen`` have a label in ``__q_y``.
+    """
+    rows = docs.withColumn("__q_id", docs[id_col]).join(broadcast_within(chosen, fit_rows), "__q_id", "left")
+    content = [F.coalesce(rows[c].cast("string"), F.lit("")) for c in dict.fromkeys([text_col, *meta_columns]) if c in docs.columns]
     order = F.when(F.col("__q_y").isNotNull(), F.sha2(F.concat_ws("\n", *content), 256))
     views = with_views(rows.withColumn("__q_order", order), text_col, meta_columns)
-    return spill(views.select("__q_id", "__q_y", "__q_order", "__q_text", "__q_meta"), "views")
+    return spill(views.select(*map(quoted, columns), "__q_id", "__q_y", "__q_order", "__q_text", "__q_meta"), "views")
 
 
 def co_train(
@@ -176,7 +188,11 @@ def co_train(
     is no model, and every document scores the share of good labels (1 without any).
     """
     chosen = _labelled(docs, labels, id_col, label_col, fit_rows)
-    views = _viewed(docs, chosen, fit_rows, id_col, text_col, meta_columns)
+    return _co_train(_viewed(docs, [], chosen, fit_rows, id_col, text_col, meta_columns), rounds, sure)
+
+
+def _co_train(views: DataFrame, rounds: int, sure: float) -> CoTrained:
+    """:func:`co_train` on the views of all documents."""
     vectors = ("__q_text", "__q_meta")
     one = views.where("__q_y IS NOT NULL").groupBy("__q_id", "__q_y").agg(F.min_by(F.struct(*vectors), "__q_order").alias("v"))
     held = F.pmod(F.xxhash64(F.lit(SEED + 1), "__q_id"), F.lit(HELD_OUT)) == 0
@@ -209,25 +225,34 @@ def co_train(
     return model
 
 
+def _scored(
+    docs: DataFrame, columns: Sequence[str], labels: DataFrame, id_col: str, text_col: str, label_col: str = "quality",
+    meta_columns: Sequence[str] = META_COLUMNS, fit_rows: int = FIT_ROWS, rounds: int = ROUNDS, sure: float = SURE,
+) -> DataFrame:
+    """``columns`` of all ``docs`` with their scores, from the views that the model was fitted on."""
+    chosen = _labelled(docs, labels, id_col, label_col, fit_rows)
+    views = _viewed(docs, columns, chosen, fit_rows, id_col, text_col, meta_columns)
+    return _co_train(views, rounds, sure).score(views)
+
+
 def score(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP, **options
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP,
+    columns: Sequence[str] | None = None, **options,
 ) -> DataFrame:
     """``docs`` with ``quality_score``, ``text_score``, ``meta_score`` (0 to 1) and ``kept`` (score at least ``keep``).
 
-    Whole texts of all rows are scored in place, without a shuffle. Columns of these names
-    in ``docs`` are replaced. Null and empty texts are scored as empty pages; repeated rows get equal
+    Whole texts of all rows are scored, without a shuffle. Columns of these names
+    in ``docs`` are replaced; ``columns`` names those that are wanted, as all of them are written beside the
+    views. Null and empty texts are scored as empty pages; repeated rows get equal
     scores; an empty table gives an empty result.
     """
-    model = co_train(docs, labels, id_col, text_col, **options)
     new = {"quality_score": "__q_score", "text_score": "__q_by_text", "meta_score": "__q_by_meta"}
-    views = with_views(docs, text_col, options.get("meta_columns", META_COLUMNS))
-    scored = model.score(views).withColumn("__q_kept", F.col("__q_score") >= keep)
-    own = [quoted(c) for c in docs.columns if c not in {*new, "kept"}]
-    return scored.select(*own, *[F.col(v).alias(k) for k, v in new.items()], F.col("__q_kept").alias("kept"))
+    own = [c for c in (docs.columns if columns is None else columns) if c not in {*new, "kept"}]
+    scored = _scored(docs, own, labels, id_col, text_col, **options).withColumn("__q_kept", F.col("__q_score") >= keep)
+    return scored.select(*map(quoted, own), *[F.col(v).alias(k) for k, v in new.items()], F.col("__q_kept").alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP, **options) -> DataFrame:
     """The rows of ``docs`` that :func:`score` keeps, with their columns alone."""
-    model = co_train(docs, labels, id_col, text_col, **options)
-    views = with_views(docs, text_col, options.get("meta_columns", META_COLUMNS))
-    return model.score(views).where(F.col("__q_score") >= keep).select(*map(quoted, docs.columns))
+    scored = _scored(docs, docs.columns, labels, id_col, text_col, **options)
+    return scored.where(F.col("__q_score") >= keep).select(*map(quoted, docs.columns))

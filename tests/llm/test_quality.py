@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarrylight.llm import quality
 
@@ -71,3 +72,32 @@ def test_held_out_accuracy_on_the_tables(spark, folder, least):
     assert sum((r[1] >= 0.5) == (r[0] == 1) for r in rows) >= least * len(rows)
     good = [r[1] >= 0.5 for r in rows if r[0] == 1]
     assert sum(good) >= least * len(good)
+
+
+def test_tokens_of_distinct_words_are_those_of_the_text(spark):
+    texts = ["", "  ", " Ab3 ab  AB!! \n ab 12\tab ", "\u0130stanbul \u03a3\u03a3 \u03b1\u03a3 caf\u00e9\u00a0x \u4e2d\u6587 a\u0301 \u00bd \U0001f600 A a"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    whole = F.concat(
+        F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}+|\\p{N}+|[^\\p{L}\\p{N}\\s]+"), F.lit(0)),
+        F.expr(r"""transform(split(regexp_replace(regexp_replace(regexp_replace(text, r'\p{Lu}+', 'A'), r'[\p{L}&&[^A]]+', 'a'), r'\p{N}+', '0'), r'\s+'),
+        s -> concat('shape ', substring(s, 1, 12)))"""),
+    )
+    rows = frame.select(whole.alias("want"), quality._text_tokens(F.array_distinct(F.split("text", "\\s+"))).alias("got")).collect()
+    assert all(set(r["got"]) == set(r["want"]) for r in rows)
+    share = lambda p: F.length(F.regexp_replace("text", f"[^{p}]+", "")) / F.greatest(F.length("text"), F.lit(1))
+    wanted = [share(p) for p in ("\\p{Lu}", "\\p{N}", "\\p{L}", "\\s")]
+    words = F.split("text", "\\s+")
+    figures = quality._page_figures(F.col("text"), words, F.array_distinct(words), F.regexp_replace("text", "\\p{L}+", ""))
+    for r in frame.select(*wanted, *(figures[n] for n in ("upper", "digits", "letters", "space"))).collect():
+        assert tuple(r)[:4] == tuple(r)[4:]
+
+
+def test_views_are_made_once(fitted, monkeypatch):
+    _, frame, marks = fitted
+    made = []
+    whole = quality.with_views
+    monkeypatch.setattr(quality, "with_views", lambda *a: made.append(1) or whole(*a))
+    rows = quality.score(frame, marks, columns=["doc_id"])
+    assert rows.columns == ["doc_id", "quality_score", "text_score", "meta_score", "kept"]
+    assert rows.count() == frame.count() and len(made) == 1
+    assert quality.keep_good(frame, marks).count() <= frame.count() and len(made) == 2

@@ -89,7 +89,7 @@ def sequences_at(slot: np.ndarray, n: int, seed: int = SEED) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def _vocabulary(name: str) -> Vocabulary:
+def _encoding(name: str) -> Vocabulary:
     with open(SparkFiles.get(name), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     if END in ranks.values() or max(ranks.values()) >= 1 << 8 * WIDTH:
@@ -218,7 +218,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _counted(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
     """(id, part, first token in the part, tokens) of every document of a partition."""
-    part, at, vocabulary = TaskContext.get().partitionId(), 0, _vocabulary(name)
+    part, at, vocabulary = TaskContext.get().partitionId(), 0, _encoding(name)
     for batch in _blocks(batches):
         sizes, _ = vocabulary.ids(batch.column(1), counts_alone=True)
         first = at + np.cumsum(sizes) - sizes
@@ -229,7 +229,7 @@ def _counted(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.Record
 
 def _packed(batches: Iterator[pa.RecordBatch], name: str, length: int) -> Iterator[np.ndarray]:
     """Blocks of sequences of a partition: documents one after the other, the last sequence padded."""
-    vocabulary, rest = _vocabulary(name), np.zeros(0, np.uint16)
+    vocabulary, rest = _encoding(name), np.zeros(0, np.uint16)
     for batch in _blocks(batches):
         rest = np.append(rest, vocabulary.ids(batch.column(1))[1])
         for first in range(0, len(rest) // length * length, 256 * length):

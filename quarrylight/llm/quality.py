@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_within, spill
+from ..session import broadcast_within, discard, spill
 from .words import quoted
 
 # Most labelled documents that a classifier is fitted on; of unlabelled ones all take part.
@@ -228,11 +228,11 @@ def _co_train(views: DataFrame, rounds: int, sure: float) -> CoTrained:
 def _scored(
     docs: DataFrame, columns: Sequence[str], labels: DataFrame, id_col: str, text_col: str, label_col: str = "quality",
     meta_columns: Sequence[str] = META_COLUMNS, fit_rows: int = FIT_ROWS, rounds: int = ROUNDS, sure: float = SURE,
-) -> DataFrame:
-    """``columns`` of all ``docs`` with their scores, from the views that the model was fitted on."""
+) -> tuple[DataFrame, DataFrame]:
+    """``columns`` of all ``docs`` with their scores, and the views that the model was fitted on and that they are made from."""
     chosen = _labelled(docs, labels, id_col, label_col, fit_rows)
     views = _viewed(docs, columns, chosen, fit_rows, id_col, text_col, meta_columns)
-    return _co_train(views, rounds, sure).score(views)
+    return _co_train(views, rounds, sure).score(views), views
 
 
 def score(
@@ -248,11 +248,17 @@ def score(
     """
     new = {"quality_score": "__q_score", "text_score": "__q_by_text", "meta_score": "__q_by_meta"}
     own = [c for c in (docs.columns if columns is None else columns) if c not in {*new, "kept"}]
-    scored = _scored(docs, own, labels, id_col, text_col, **options).withColumn("__q_kept", F.col("__q_score") >= keep)
+    scored, _ = _scored(docs, own, labels, id_col, text_col, **options)
+    scored = scored.withColumn("__q_kept", F.col("__q_score") >= keep)
     return scored.select(*map(quoted, own), *[F.col(v).alias(k) for k, v in new.items()], F.col("__q_kept").alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP, **options) -> DataFrame:
-    """The rows of ``docs`` that :func:`score` keeps, with their columns alone."""
-    scored = _scored(docs, docs.columns, labels, id_col, text_col, **options)
-    return scored.where(F.col("__q_score") >= keep).select(*map(quoted, docs.columns))
+    """The rows of ``docs`` that :func:`score` keeps, with their columns alone.
+
+    They are written to the shared folder, and the views, which take as much again, are deleted.
+    """
+    scored, views = _scored(docs, docs.columns, labels, id_col, text_col, **options)
+    kept = spill(scored.where(F.col("__q_score") >= keep).select(*map(quoted, docs.columns)), "kept-pages", "zstd")
+    discard(views)
+    return kept

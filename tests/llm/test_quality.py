@@ -1,8 +1,10 @@
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from quarrylight import session
 from quarrylight.llm import quality
 
 SCHEMA = "doc_id long, text string, source string, lang string, kept string, quality_score int"
@@ -101,3 +103,17 @@ def test_views_are_made_once(fitted, monkeypatch):
     assert rows.columns == ["doc_id", "quality_score", "text_score", "meta_score", "kept"]
     assert rows.count() == frame.count() and len(made) == 1
     assert quality.keep_good(frame, marks).count() <= frame.count() and len(made) == 2
+
+
+def scratch_folders(spark):
+    own = f"{session.shared_dir(spark).removeprefix('file:')}/quarrylight/{spark.sparkContext.applicationId}"
+    return set(os.listdir(own)) if os.path.isdir(own) else set()
+
+
+def test_keep_good_leaves_its_rows_and_no_views(spark, fitted):
+    _, frame, marks = fitted
+    before = scratch_folders(spark)
+    kept = quality.keep_good(frame, marks)
+    left = [name.rsplit("-", 1)[0] for name in scratch_folders(spark) - before]
+    assert "views" not in left and left.count("kept-pages") == 1
+    assert 0 < kept.count() < frame.count()

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylight.contracts import CHUNK
-from quarrylight.operators import blocks, dense, sparse
+from quarrylight.operators import blocks, dense, lists, sparse
 from quarrylight.operators.embed import get_embedder
 from quarrylight.operators.fusion import reciprocal_rank_fusion
 from quarrylight.functions import text as tx
@@ -277,6 +277,40 @@ def test_short_queries_use_the_lists_of_their_components(monkeypatch):
         assert [n for _, n in found.best[i]] == list(names[v[q == i]])
 
 
+def test_short_queries_open_only_the_heads_of_lists(monkeypatch):
+    """The best places of signed, tied and floored queries equal those of all scores; few of the places are opened."""
+    rng = np.random.default_rng(9)
+    table = np.where(rng.random((40, 6000)) < 0.3, rng.choice([-1.0, 1.0], size=(40, 6000)) * rng.random((40, 6000)) ** 6, 0.0).round(3)
+    table[0] = 0.0
+    word, place = np.nonzero(table)
+    rank = rng.permutation(6000)
+    found = lists.Lists(word, place, table[word, place], 40, rank)
+    words = np.array([rng.choice(40, size=4, replace=False) for _ in range(200)])
+    weights = rng.choice([-1.0, 0.5, 2.0], size=(200, 4)) * (np.arange(4) <= np.arange(200)[:, None] % 4)
+    floors = np.where(np.arange(200) % 3 == 0, 0.9, -np.inf)
+    opened = []
+    monkeypatch.setattr(lists.Lists, "_opened", lambda self, *a, _of=lists.Lists._opened: opened.append(_of(self, *a)) or opened[-1])
+    q, at, score = found.best(words, weights, floors, 5)
+    for i in range(200):
+        sums = np.round((weights[i][:, None] * table[words[i]]).sum(axis=0), 6)
+        hits = np.flatnonzero((sums > 0) & (sums >= floors[i]))
+        want = hits[np.lexsort((rank[hits], -sums[hits]))][:5]
+        assert list(at[q == i]) == list(want) and np.allclose(score[q == i], sums[want])
+    assert sum(map(len, opened)) < 0.2 * (table[words] != 0).sum(axis=2)[weights != 0].sum()
+
+
+@pytest.mark.parametrize("limit", [3, 100])
+def test_equal_vectors_are_searched_once_in_large_batches(spark, monkeypatch, limit):
+    items = spark.createDataFrame([(f"i{i}", [float(i % 5), 1.0, 0.5]) for i in range(20)], "chunk_id string, vector array<float>")
+    asks = spark.createDataFrame([(f"q{i:02d}", [1.0, 0.0, float(i % 2)]) for i in range(12)], "query_id string, vector array<float>")
+    sent = []
+    monkeypatch.setattr(dense, "_by_batch", lambda v, b, *a, _of=dense._by_batch: sent.append(b.num_rows) or _of(v, b, *a))
+    got = sorted(tuple(r) for r in dense.dense_topk(items, asks, 3, max_batch=limit).collect())
+    best = {0: [4.0] * 3, 1: [4.5] * 3}
+    assert got == [(f"q{i:02d}", r + 1, c, best[i % 2][r]) for i in range(12) for r, c in enumerate(["i14", "i19", "i4"])]
+    assert sum(sent) == (2 if limit == 3 else 12)
+
+
 def test_few_rare_words_are_added_up_whole(spark, zipf, monkeypatch):
     index, texts = zipf
     batch = queries(spark, "w0 w1", "w3 w900", "w2", "the w7 w8 w9", "w5 unheard")

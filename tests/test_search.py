@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -311,6 +312,28 @@ def test_equal_vectors_are_searched_once_in_large_batches(spark, monkeypatch, li
     assert sum(sent) == (2 if limit == 3 else 12)
 
 
+def test_few_frequent_words_are_answered_together(spark, zipf, monkeypatch):
+    """Queries of few words are not looked at one by one, however many postings their words have."""
+    index, texts = zipf
+    batch = queries(spark, "w0 w1", "the w0", "w2 the w1", "the", "w5 unheard", texts[0])
+    asked = sparse.query_terms(batch.frame)
+    rows = blocks.weighted_terms(asked, index.table("term_stats"), index.stats["n_chunks"]).toPandas()
+    known = blocks._Asked(rows)
+    assert len(known.short) == 5 and sorted(known.words) == sorted(set(texts[0].split()))
+    finder = blocks._Finder(known, index.average_length, 7)
+    for name in ("_whole", "_open"):
+        monkeypatch.setattr(blocks._Finder, name, None)
+    known.words.clear()
+    shard = {r["term"]: r for r in index.table("shards").filter("shard = 0").collect()}
+    held = {}
+    for term in known.number.keys() & shard.keys():
+        r = shard[term]
+        sat = blocks._saturated(np.array(r["tfs"], float), np.array(r["dls"]), index.average_length)
+        held[term] = (r["ranges"], r["tops"], np.append(0, np.cumsum(r["sizes"])), np.array(r["locals"]), sat)
+    finder.shard(pa.array(shard[None]["chunk_ids"]), held)
+    assert sum(len(q) for q, *_ in finder.short.rows()) == 5 * 7
+
+
 def test_few_rare_words_are_added_up_whole(spark, zipf, monkeypatch):
     index, texts = zipf
     batch = queries(spark, "w0 w1", "w3 w900", "w2", "the w7 w8 w9", "w5 unheard")

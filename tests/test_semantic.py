@@ -70,6 +70,19 @@ def test_cases(spark, fitted):
     assert semantic.fit(none.table("terms"), none.table("term_stats"), 2) is None
 
 
+def test_small_matrices_are_added_up_by_all_tasks_at_once(spark, monkeypatch):
+    """No job per part of the matrix, and a part's rows are packed once."""
+    squares = [np.arange(4.0) * i for i in range(1, 8)]
+    pieces = spark.createDataFrame([(0, bytearray(x.tobytes())) for x in squares], "block long, data binary").repartition(5)
+    monkeypatch.setattr(type(pieces), "toLocalIterator", None)
+    assert np.array_equal(semantic._sum_of_squares(pieces, 2), sum(squares).reshape(2, 2))
+    rows = [(0, [1, 3], [0.5, 0.25]), (0, [2], [1.0]), (1, [0], [2.0])]
+    packed = semantic._packed(spark.createDataFrame(rows, "part int, columns array<int>, weights array<double>"))
+    assert sorted(r["part"] for r in packed.collect()) == [0, 1]
+    there, held = semantic._times(packed.filter("part = 0").toArrow(), np.arange(8.0).reshape(4, 2))
+    assert sorted(map(list, there)) == [[2.5, 3.25], [4.0, 5.0]] and len(held) == 2
+
+
 def test_tfidf_shuffles_whole_chunks_once(spark):
     index = build_index(chunk_rows(spark, ["a b b", "a c", "b c c d", ""]), scratch_path(spark, "semantic"))
     words = semantic.vocabulary(index.table("term_stats"), 4)

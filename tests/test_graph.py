@@ -112,6 +112,18 @@ def test_accumulation_golden(spark):
     assert got == {"k1": 1.728459, "k2": 1.08715}
 
 
+def test_rows_per_query_and_chunk_are_not_shuffled(spark):
+    """Places of active concepts meet by chunk; what queries make of them stays there. Chunk ids may repeat or be null."""
+    active = spark.createDataFrame([("q1", "a", 1.0), ("q1", "b", 0.5), ("q2", "b", 2.0)], "query_id string, concept string, rel double")
+    rows = [("a", "c1"), ("b", "c1"), ("b", "c1"), ("b", "c2"), ("b", None), ("z", "c3"), (None, "c1")]
+    found = X.accumulate(active, spark.createDataFrame(rows, "concept string, chunk_id string"), 0.0)
+    got = {(r["query_id"], r["chunk_id"]): (r["hits"], r["score_a"]) for r in found.collect()}
+    assert got == {("q1", "c1"): (3, 2.0), ("q1", "c2"): (1, 0.5), ("q1", None): (1, 0.5),
+                   ("q2", "c1"): (2, 4.0), ("q2", "c2"): (1, 2.0), ("q2", None): (1, 2.0)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(chunk_id" in plan and "hashpartitioning(query_id" not in plan
+
+
 def test_distributed_rank_over_one_hot_group(spark):
     data = [("hot", i) for i in range(500)] + [("cold", i) for i in range(3)]
     df = spark.createDataFrame(data, "g string, v int").repartition(5)

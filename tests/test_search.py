@@ -9,7 +9,7 @@ from quarrylight.contracts import CHUNK
 from quarrylight.operators import blocks, dense, lists, sparse
 from quarrylight.operators.embed import get_embedder
 from quarrylight.operators.fusion import reciprocal_rank_fusion
-from quarrylight.functions import text as tx
+from quarrylight.functions import counts, text as tx
 from quarrylight.functions.counts import SETTLED, counted_chunks
 from quarrylight.plans.index import build_index, lazy_index
 from quarrylight.plans.multi import multi_query_search, subqueries
@@ -346,6 +346,16 @@ def test_few_rare_words_are_added_up_whole(spark, zipf, monkeypatch):
     assert report["q2"]["postings_read"] == report["q2"]["postings"] > 0
 
 
+def test_latin_texts_are_cut_without_the_unicode_tables(monkeypatch):
+    texts = ["Straße_ÄÖÜ naïve-café 12½ ªº µ", "l’été – 10€", "ÇA-va Ça x²y ıŉ Ǆ"]
+    want = [([w.lower() for w in counts._ANY.findall(t)], [w.lower() for w in counts._UPPER.findall(t)]) for t in texts]
+    vectors = get_embedder().encode(texts)
+    monkeypatch.setattr(counts, "_ANY", None)
+    monkeypatch.setattr(counts, "_UPPER", None)
+    assert [counts._words(t) for t in texts] == want and [counts.search_words(t) for t in texts] == [w for w, _ in want]
+    assert np.array_equal(get_embedder().encode(texts), vectors) and not counts._PLAIN("İ") and not counts._PLAIN("石")
+
+
 def test_chunks_counted_together_equal_the_column_functions(spark):
     texts = [
         "The granite-block granite 3rd an AN", "", "  ", "Straße ÄÖÜ İstanbul I\u0307 naïve café", "Ωμέγα ΟΔΟΣ ΣΑΣ. Σ", "Привет МИР мир-мир",
